@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import exact_dedup, language_id, mixing, near_dedup, spotsigs
+from tarmac.llm import bpe, exact_dedup, language_id, mixing, near_dedup, spotsigs
 from tarmac.llm.common import table
 
 
@@ -17,6 +17,18 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def public_vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[bytes, str]:
+    """Ranks and pre-token pattern of a public tokenizer."""
+    import public_tokenizers
+
+    return bpe.vocabulary(public_tokenizers.path(name)), public_tokenizers.PATTERN
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), *public_vocabulary(), decode_too=True)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -36,6 +48,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_spotsigs": op1_spotsigs,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op10_language_id": op10_language_id,
