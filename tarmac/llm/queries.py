@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarmac.llm import bpe, exact_dedup, language_id, mixing, near_dedup, pii, spotsigs, tool_calls, url_filter
+from tarmac.llm import bpe, exact_dedup, language_id, lm_scoring, mixing, near_dedup, pii, spotsigs, tool_calls, url_filter
 from tarmac.llm.common import table
 
 
@@ -77,6 +77,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.evaluate(captures, entries.withColumn("listed_on", F.col("listed_on").cast("date"))).withColumn("fetched_on", F.col("fetched_on").cast("string"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = lm_scoring.held_out("doc_id", 7, 2)
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = language_id.held_out()
@@ -94,6 +100,7 @@ QUERIES = {
     "op6_source_mixing": op6_source_mixing,
     "op7_tool_calls": op7_tool_calls,
     "op8_url_filter": op8_url_filter,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_language_id": op10_language_id,
 }
 
