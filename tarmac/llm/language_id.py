@@ -167,32 +167,45 @@ def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_
 
     def run(batches):
         for b in batches:
-            ids, texts = b.column("doc_id"), [t or "" for t in b.column("text").to_pylist()]
-            pred, score, at = [], [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (size < 4_000_000 or end == at):
-                    size += len(texts[end])
-                    end += 1
-                part = texts[at:end]
-                if parser.languages:
-                    counts, letters = parser.phrases(part)
-                    best = counts.argmin(axis=1)
-                    ranked = np.sort(counts, axis=1)
-                    second = ranked[:, 1] if counts.shape[1] > 1 else None
-                    sure = 1 - ranked[:, 0] / np.maximum(second, 1) if second is not None else np.ones(len(part))
-                    known = letters > 0
-                    pred += [parser.languages[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
-                    score += np.where(known, np.clip(sure, 0, 1), 0.0).tolist()
-                else:
-                    pred += ["und"] * len(part)
-                    score += [0.0] * len(part)
-                at = end
-            yield pa.RecordBatch.from_arrays([ids, pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            pred, score = _judged(parser, b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def _judged(parser: CrossParser, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    texts, pred, score, at = [t or "" for t in texts], [], [], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (size < 4_000_000 or end == at):
+            size += len(texts[end])
+            end += 1
+        part = texts[at:end]
+        at = end
+        if not parser.languages:
+            pred += ["und"] * len(part)
+            score += [0.0] * len(part)
+            continue
+        counts, letters = parser.phrases(part)
+        ranked, known = np.sort(counts, axis=1), letters > 0
+        sure = 1 - ranked[:, 0] / np.maximum(ranked[:, 1], 1) if counts.shape[1] > 1 else np.ones(len(part))
+        pred += [parser.languages[k] if ok else "und" for k, ok in zip(counts.argmin(axis=1), known, strict=True)]
+        score += np.where(known, np.clip(sure, 0, 1), 0.0).tolist()
+    return pred, score
+
+
+def keep_identified(docs: DataFrame, parser: CrossParser, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in some language: texts that are null or without a letter go."""
+
+    def run(batches):
+        for b in batches:
+            pred, _ = _judged(parser, b.column(text_col).to_pylist())
+            yield b.filter(pa.array([p != "und" for p in pred], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> F.Column:
     """crc32 of the identifier as text; rows without one are never held out."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
