@@ -115,7 +115,7 @@ def drift_progress(epochs: DataFrame, run: str, epoch: str, drift: str) -> DataF
     per = epochs.groupBy(run, epoch).agg(F.count(drift).alias("n"), F.avg(drift).alias("mean"), (F.stddev_samp(drift) / F.sqrt(F.count(drift))).alias("se"))
     w = Window.partitionBy(run).orderBy(epoch)
     out = per.withColumns({"ma3": F.avg("mean").over(w.rowsBetween(-2, 0)), "change": F.abs(F.col("mean") - F.lag("mean").over(w))})
-    return out.withColumn("within_noise", F.col("change") <= F.col("se"))
+    return out.withColumn("within_noise", F.coalesce(F.col("change") <= F.col("se"), F.lit(False)))
 
 
 def baselines(labels: DataFrame, session: str, role: str, t: str, order: list[str], value: str, train_role: str) -> DataFrame:
