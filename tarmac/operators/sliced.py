@@ -50,7 +50,7 @@ def running_sum(df: DataFrame, session: str, t: str, order: list[str], value: Co
 
 
 def asof(points: DataFrame, grid: DataFrame, session: str, t: str, value: str, width: float = WIDTH) -> DataFrame:
-    """For every row of ``grid`` the samples at or before and at or after it: t0, v0, t1, v1, null where there is none.
+    """For every row of ``grid`` the samples at or before and at or after it: __t0, __v0, __t1, __v1, null where there is none.
 
     ``points`` has session, t, value, one row a time; ``grid`` has session, t and
     any other columns. Both sides are read once and meet in one sort.
@@ -73,11 +73,11 @@ def asof(points: DataFrame, grid: DataFrame, session: str, t: str, value: str, w
     rows = both.withColumn("__a", F.last("__p", ignorenulls=True).over(back)).withColumn("__b", F.last("__p", ignorenulls=True).over(ahead))
     rows = rows.filter("__is_grid").join(ends, [session, "__slice"])
     a, b = F.coalesce("__a", "__before"), F.coalesce("__b", "__after")
-    return rows.select(session, t, *(F.col(f"__g.{c}").alias(c) for c in rest), a["t"].alias("t0"), a["v"].alias("v0"), b["t"].alias("t1"), b["v"].alias("v1"))
+    return rows.select(session, t, *(F.col(f"__g.{c}").alias(c) for c in rest), a["t"].alias("__t0"), a["v"].alias("__v0"), b["t"].alias("__t1"), b["v"].alias("__v1"))
 
 
 def lerp(t: str, clamp: bool = True) -> Column:
     """The value at ``t`` between as-of neighbours; outside them the end value, or null if not ``clamp``."""
-    inside = F.when(F.col("t1") == F.col("t0"), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col(t) - F.col("t0")) / (F.col("t1") - F.col("t0")))
-    both = F.col("v0").isNotNull() & F.col("v1").isNotNull()
-    return F.when(both, inside).otherwise(F.coalesce("v0", "v1")) if clamp else F.when(both, inside)
+    inside = F.when(F.col("__t1") == F.col("__t0"), F.col("__v0")).otherwise(F.col("__v0") + (F.col("__v1") - F.col("__v0")) * (F.col(t) - F.col("__t0")) / (F.col("__t1") - F.col("__t0")))
+    both = F.col("__v0").isNotNull() & F.col("__v1").isNotNull()
+    return F.when(both, inside).otherwise(F.coalesce("__v0", "__v1")) if clamp else F.when(both, inside)

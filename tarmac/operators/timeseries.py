@@ -232,7 +232,7 @@ def apply_offset(df: DataFrame, offsets: DataFrame, session: str, t: str) -> Dat
 def gap_mask(points: DataFrame, grid: DataFrame, session: str, t: str, value: str, gap: float) -> DataFrame:
     """Interpolated values, null where the nearest sample is further than ``gap`` away."""
     near = asof(mean_by_time(points, session, t, value), grid, session, t, value)
-    closest = F.least(F.col(t) - F.col("t0"), F.col("t1") - F.col(t))
+    closest = F.least(F.col(t) - F.col("__t0"), F.col("__t1") - F.col(t))
     rest = [c for c in grid.columns if c not in (session, t)]
     return near.select(session, t, *rest, F.when(closest <= gap, lerp(t)).alias(value))
 
