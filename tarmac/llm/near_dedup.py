@@ -8,11 +8,13 @@
    shared values is listed under its s - need + 1 rarest alone: passages that
    many documents share produce no candidates unless they fill most of a sketch.
 3. *Pivots*: members of a list are paired with the list's most central one, not
-   with one another. Links found this way are merged into components; only
-   members of a list in different components are then paired.
+   with one another: its cluster.
 4. *Estimate*: the bottom k of the union of two sketches estimates the Jaccard
    likeness; pairs far under the threshold go.
 5. *Verification*: exact Jaccard on the full shingle sets of whole texts.
+6. *Rest*: links are merged into components. What a pivot did not join is
+   compared with its whole cluster, block by block inside a task; of the pairs
+   there, only links that join components are ever written as rows.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from tarmac.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
 SKETCH, NEED, LEAST_ESTIMATE = 64, 24, 0.40
-#: Rows of verification requests that may be broadcast (about 20 MB); more are joined by shuffle.
-BROADCAST_ROWS = 200_000
-BLOCK = 512
+#: Identifiers or verification requests that may be broadcast (about 30 MB); more are joined by shuffle.
+BROADCAST_ROWS = 400_000
+#: Texts in a block; a cell holds two blocks at most.
+BLOCK = 256
 
 
 def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
@@ -105,20 +108,30 @@ def _estimated(pairs: DataFrame, reps: DataFrame, k: int, least: float) -> DataF
     return both.filter(likeness >= least).select("a", "b").distinct()
 
 
-def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, group: int = 256) -> DataFrame:
+def _candidates(docs: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Texts of the documents that are in some cluster."""
+    ids = clusters.select(F.col("id").alias("doc_id")).distinct()
+    few = ids.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _requested(texts: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests (doc_id, ...) with their texts; few of them are broadcast, more meet the texts in a shuffle."""
+    few = requests.count() <= BROADCAST_ROWS
+    return texts.select("doc_id", "text").join(F.broadcast(requests) if few else requests, "doc_id")
+
+
+def verify(texts: DataFrame, pairs: DataFrame, percent: int = PERCENT, group: int = 256) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have at least this Jaccard likeness.
 
     A group is one text a and about ``group`` partners, so a text with very many
     partners is sent once for each such group and no task holds more than two texts.
     """
     counts = pairs.groupBy("a").agg(F.count("*").alias("m"))
-    n = pairs.count()
-    dealt = lookup(pairs, counts, "a", "m", n, "inner").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / group)))
+    dealt = lookup(pairs, counts, "a", "m", pairs.count(), "inner").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / group)))
     requests = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("doc_id")).unionByName(
         dealt.select("a", "part", F.lit(0).alias("role"), F.col("a").alias("doc_id")).distinct()
     )
-    texts = docs.select("doc_id", "text")
-    rows = texts.join(F.broadcast(requests) if n <= BROADCAST_ROWS else requests, "doc_id")
 
     def run(batches):
         held, own, hasher = None, None, WordHasher()
@@ -133,26 +146,106 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, group: int
                     if inter and 100 * inter >= percent * (len(own) + len(s) - inter):
                         found.append((key, i))
             if found:
-                a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                yield _links(found)
 
-    ordered = rows.repartition("a", "part").sortWithinPartitions("a", "part", "role").select("a", "part", "role", "doc_id", "text")
+    ordered = _requested(texts, requests).repartition("a", "part").sortWithinPartitions("a", "part", "role").select("a", "part", "role", "doc_id", "text")
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _across(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of a list's members in different components, by blocks of BLOCK members."""
-    known = postings.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    lists = known.groupBy("v").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low < high")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = known.join(lists.select("v", blocks.alias("blocks")), "v").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", every)
-    cell = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
-    left = rows.select("v", *cell, F.col("block").alias("ba"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = rows.select("v", *cell, F.col("block").alias("bb"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    met = left.join(right, ["v", "i", "j"]).filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _similar_size("na", "nb", percent))
-    return met.filter((F.col("ba") != F.col("bb")) | (F.col("i") == F.col("j"))).select("a", "b").distinct()
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def shared_counts(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """Sizes of the intersections of the sets before ``first`` (rows) with those from ``first`` on, or of all with all if it is 0."""
+    sizes = np.array([len(s) for s in sets])
+    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, keep = np.repeat(np.arange(len(sets)), sizes), times[column] > 1
+    owner, column = owner[keep], column[keep]
+    new = np.cumsum(times > 1) - 1
+    column = new[column]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    n, width = int(column[-1]) + 1 if len(column) else 0, 4096
+    out = np.zeros((first or len(sets), len(sets) - first), np.int64)
+    cuts = np.searchsorted(column, np.arange(0, n + width, width))
+    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        m = np.zeros((len(sets), min(width, n - k * width)), np.float32)
+        m[owner[a:b], column[a:b] - k * width] = 1
+        out += np.rint(m[: first or len(sets)] @ m[first:].T).astype(np.int64)
+    return out
+
+
+def _across(clusters: DataFrame, labels: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of a cluster in different components, enough to join those that are linked.
+
+    ``clusters`` has a (its pivot) and id. Members in the pivot's component are one
+    another's already; the others are compared with all. Both kinds are dealt to
+    blocks of about BLOCK texts, and each pair of blocks that must meet is a cell;
+    a cell's pairs are counted in its task and only links that join components leave it.
+    """
+    known = clusters.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    own = labels.select(F.col("id").alias("a"), F.col("component").alias("base"))
+    known = known.join(own, "a", "left").withColumn("rest", F.col("component") != F.coalesce("base", "a"))
+    sizes = known.groupBy("a").agg(F.count_if("rest").alias("u"), F.count_if(~F.col("rest")).alias("l")).filter("u > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    rows = known.join(sizes.select("a", blocks("u").alias("bu"), blocks("l").alias("bl")), "a")
+    own_block = F.pmod(F.xxhash64("id"), F.when(F.col("rest"), F.col("bu")).otherwise(F.col("bl"))).cast("int")
+    rows = rows.withColumn("own", own_block)
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    zero, one = F.lit(0), F.lit(1)
+    upto = lambda c: F.when(F.col(c) > 0, F.sequence(F.lit(0), F.col(c) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    within = F.transform(upto("bu"), lambda j: cell("uu", F.least(F.col("own"), j), F.greatest(F.col("own"), j), F.when(j < F.col("own"), one).otherwise(zero)))
+    to_linked = F.transform(upto("bl"), lambda j: cell("ul", F.col("own"), j, zero))
+    from_linked = F.transform(upto("bu"), lambda i: cell("ul", i, F.col("own"), one))
+    cells = rows.withColumn("c", F.explode(F.when(F.col("rest"), F.concat(within, to_linked)).otherwise(from_linked)))
+    requests = cells.select(F.col("id").alias("doc_id"), "a", "c.kind", "c.i", "c.j", "c.side", "component")
+
+    def run(batches):
+        hasher, held, key = WordHasher(), [], None
+
+        def joined():
+            sets = [s for _, _, _, s in held]
+            ids, comps = [i for i, *_ in held], np.array([c for _, c, *_ in held])
+            first = sum(1 for *_, side, _ in held if side == 0) if key[1] == "ul" or key[2] != key[3] else 0
+            if len(held) < 2 or first == len(held):
+                return []
+            n, top = np.array([len(s) for s in sets]), first or len(held)
+            both = shared_counts(sets, first)
+            close = (100 * both >= percent * (n[:top, None] + n[None, first:] - both)) & (comps[:top, None] != comps[None, first:])
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while parent.get(x, x) != x:
+                    x = parent[x]
+                return x
+
+            found = []
+            for x, y in np.argwhere(close).tolist():
+                y += first
+                p, q = root(int(comps[x])), root(int(comps[y]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    found.append((ids[x], ids[y]))
+            return found
+
+        for *keys, sides, comps, ids, texts in chunks(batches, ["a", "kind", "i", "j", "side", "component", "doc_id", "text"]):
+            sets = shingle_hashes(*hasher.words([lowered(t) for t in texts]))
+            found = []
+            for k, side, comp, i, own in zip(zip(*keys, strict=True), sides, comps, ids, sets, strict=True):
+                if k != key:
+                    found += joined() if held else []
+                    held, key = [], k
+                held.append((i, comp, side, own))
+            if found:
+                yield _links(found)
+        if held and (found := joined()):
+            yield _links(found)
+
+    by = ["a", "kind", "i", "j"]
+    ordered = _requested(texts, requests).repartition(*by).sortWithinPartitions(*by, "side", "doc_id").select(*by, "side", "component", "doc_id", "text")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SKETCH, need: int = NEED, least: float = LEAST_ESTIMATE) -> DataFrame:
@@ -177,15 +270,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     central = F.max_by(F.struct("id", "n"), F.struct("central", -F.col("id"))).alias("pivot")
     pivots = postings.groupBy("v").agg(central, F.count("*").alias("m"))
-    star = lookup(postings, pivots.select("v", "m", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("na")), "v", "m", postings.count(), "inner")
-    star = star.filter((F.col("a") != F.col("id")) & _similar_size("na", "n", percent)).select("a", F.col("id").alias("b")).distinct()
+    members = lookup(postings, pivots.select("v", "m", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("na")), "v", "m", postings.count(), "inner")
+    clusters = scratch.write("clusters", members.select("a", "na", "id", "n").distinct())
+    texts = scratch.write("texts", _candidates(named, clusters))
+    star = clusters.filter((F.col("a") != F.col("id")) & _similar_size("na", "n", percent)).select("a", F.col("id").alias("b"))
     tested = scratch.write("star", _estimated(star, reps, k, least))
-    links = scratch.write("links-1", verify(named, tested, percent))
+    links = scratch.write("links-1", verify(texts, tested, percent))
     labels = components(links, scratch, "first")
-    across = _across(postings, labels, percent)
-    seen = tested.select("a", "b").union(tested.select("b", "a"))
-    across = scratch.write("across", _estimated(across.join(seen, ["a", "b"], "left_anti"), reps, k, least))
-    more = scratch.write("links-2", verify(named, across, percent))
+    more = scratch.write("links-2", _across(clusters.select("a", "id"), labels, texts, percent))
     labels = components(links.union(more), scratch, "all")
 
     named_class = classes.join(labels, "id", "left").select("set_key", "members", F.coalesce("component", "id").alias("component_id"))
