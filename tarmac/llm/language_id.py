@@ -63,7 +63,8 @@ def suffix_automaton(codes: Iterable[int], classes: int) -> np.ndarray:
 class CrossParser:
     """Languages' automata as one table; ``phrases`` parses many texts at once."""
 
-    FLAG = 1 << 30
+    #: An entry holds the next state's row below this bit and the phrases that the step ends from it on.
+    SHIFT = 29
 
     def __init__(self, samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS, segment: int = SEGMENT) -> None:
         self.languages, self.segment = sorted(samples), segment
@@ -82,11 +83,12 @@ class CrossParser:
             codes = self.codes(texts[k])
             codes = codes[np.concatenate([[True], (codes[1:] != REST) | (codes[:-1] != REST)])] if len(codes) else codes
             found = suffix_automaton(codes.tolist(), self.classes)
-            start = found[0].copy()
-            start[start < 0] = 0
-            # A mismatch ends the phrase, and the next one begins with the letter that ended it.
-            entry = np.where(found >= 0, found + at, (start + at)[None, :] + 0) * self.classes
-            entry = np.where(found >= 0, entry, entry | self.FLAG)
+            start = found[0]
+            # A mismatch ends the phrase, and the next one begins with the letter that ended it; a letter that the
+            # sample doesn't have is a phrase of its own.
+            restart, ends = np.where(start >= 0, start, 0), np.where(start >= 0, 1, 2)
+            entry = np.where(found >= 0, (found + at) * self.classes, (restart + at) * self.classes + (ends << self.SHIFT))
+            entry[0] = np.where(start >= 0, (start + at) * self.classes, at * self.classes + (1 << self.SHIFT))
             entry[:, self.stop] = (np.arange(len(found)) + at) * self.classes
             rows.append(entry)
             self.roots.append(at * self.classes)
@@ -128,11 +130,12 @@ class CrossParser:
             codes = np.where(np.arange(width)[None, :] < sizes[rows][:, None], joined[np.minimum(where, len(joined) - 1)], self.stop)
             codes = np.ascontiguousarray(codes.T).astype(np.int32)
             state = np.repeat(np.array(self.roots, np.int32)[:, None], len(rows), axis=1)
-            ended = np.ones(state.shape, np.int32)  # the last phrase ends with the segment
+            roots, ended = state.copy(), np.zeros(state.shape, np.int32)
             for row in codes:
                 entry = self.table.take(state + row)
-                ended += entry >> 30
-                state = entry & (self.FLAG - 1)
+                ended += entry >> self.SHIFT
+                state = entry & ((1 << self.SHIFT) - 1)
+            ended += state != roots  # an open phrase ends with the segment
             np.add.at(counts, owner[rows], ended.T)
         return counts, letters
 
