@@ -73,8 +73,10 @@ LIST_ENTRIES = [
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 37, F.lit(366)).cast("int"))
     captures = table(spark, sf_dir, "pages").select("page_id", "url", day.alias("fetched_on"))
-    entries = spark.createDataFrame(LIST_ENTRIES, "entry_id long, listed_on string, action string, kind string, pattern string, category string")
-    return url_filter.evaluate(captures, entries.withColumn("listed_on", F.col("listed_on").cast("date"))).withColumn("fetched_on", F.col("fetched_on").cast("string"))
+    names = ("entry_id", "listed_on", "action", "kind", "pattern", "category")
+    entries = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, e, strict=True))) for e in LIST_ENTRIES))))
+    entries = entries.withColumns({"entry_id": F.col("entry_id").cast("long"), "listed_on": F.col("listed_on").cast("date")})
+    return url_filter.evaluate(captures, entries).withColumn("fetched_on", F.col("fetched_on").cast("string"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
