@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -103,9 +104,10 @@ class WordHasher:
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
 
-    def _powers(self, n: int) -> None:
+    def powers(self, n: int) -> None:
+        """Makes room for ``n`` bytes at once."""
         if len(self.up) <= n:
-            size = max(n + 1, 1 << 20)
+            size = n + n // 4 + 1024
             inverse = pow(self.BASE, -1, 1 << 64)
             with np.errstate(over="ignore"):
                 self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, self.BASE, np.uint64)]))
@@ -115,7 +117,7 @@ class WordHasher:
         """Hashes of the words of all texts in order, and where each text's words begin (one more at the end)."""
         joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-        self._powers(len(joined))
+        self.powers(len(joined))
         gap = self.gap[joined].copy()
         gap[np.cumsum(lengths) - 1] = True
         edge = np.diff(gap.astype(np.int8), prepend=np.int8(1))
@@ -133,6 +135,14 @@ def lowered(text: str | None) -> bytes:
     return b"" if text is None else text.encode().lower()
 
 
+def release() -> None:
+    """Gives a worker's freed memory back to the system: workers are reused, and their executor counts what they hold."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def chunks(batches, columns: list[str], size: int = 1 << 20):
     """Rows of Arrow batches as lists of columns, in chunks of about ``size`` characters of the last column."""
     held: list[list] = [[] for _ in columns]
