@@ -86,10 +86,10 @@ def drift_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(out, 4, "mean", "median", "p90", "max", "mean_cae", "mean_abs_cae"), 6, "ratio")
 
 
-@query(f"""WITH {SCORES} SELECT predictor, count(*) AS n, round(100 * avg((drift < 100)::INT), 6) AS under_100_pct, round(avg(drift), 4) AS mean, round(quantile_cont(drift, 0.5), 4) AS median
+@query(f"""WITH {SCORES} SELECT predictor, count(*) AS n, round(100 * avg((drift < 100)::INT), 6) AS under_100_pct, round(avg(drift), 9) AS mean, round(quantile_cont(drift, 0.5), 9) AS median
     FROM scores WHERE duration = 60 AND distance BETWEEN 800 AND 1200 GROUP BY predictor""")
 def benchmark_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rounded(m.benchmark_band(scores(spark, sf_dir), ["predictor"], "duration", "distance", "drift"), 4, "mean", "median"), 6, "under_100_pct")
+    return rounded(rounded(m.benchmark_band(scores(spark, sf_dir), ["predictor"], "duration", "distance", "drift"), 9, "mean", "median"), 6, "under_100_pct")
 
 
 @query(f"""WITH {SCORES} SELECT predictor, round(avg(CASE WHEN duration = 10 THEN (cae < 0)::INT END), 9) AS "10", round(avg(CASE WHEN duration = 30 THEN (cae < 0)::INT END), 9) AS "30", round(avg(CASE WHEN duration = 60 THEN (cae < 0)::INT END), 9) AS "60"
