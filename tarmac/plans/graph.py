@@ -11,7 +11,7 @@ from tarmac.operators import roadgraph as rg
 from tarmac.plans.metrics import rounded
 from tarmac.plans.registry import query
 from tarmac.sources import catalog, maps
-from tarmac.views import PAIRS_SQL, SAMPLES_SQL, pairs, samples, table
+from tarmac.views import PAIRS_SQL, SAMPLES_SQL, samples, table
 
 S = f"WITH {SAMPLES_SQL}"
 
