@@ -206,8 +206,7 @@ POINTS_SQL = f"""{SAMPLES_SQL}, pt AS (SELECT event_id AS id, 51.4995::DOUBLE +
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples(spark, sf_dir).filter("event_id % 5 = 0")
-    return rows.select(F.col("event_id").alias("id"), (51.4995 + F.pmod("event_id", F.lit(11)) * 1e-4).alias("lat"), (-2.5005 + F.pmod("event_id", F.lit(13)) * 1e-4).alias("lon"), F.radians("heading_deg").alias("heading"))
+    return samples(spark, sf_dir).select(F.col("event_id").alias("id"), (51.4995 + F.pmod("event_id", F.lit(11)) * 1e-4).alias("lat"), (-2.5005 + F.pmod("event_id", F.lit(13)) * 1e-4).alias("lon"), F.radians("heading_deg").alias("heading"))
 
 
 @query(f"""WITH {POINTS_SQL}, {CROSS_SQL}, v AS (SELECT id, edge, i, (lon1 - lon) * 111320 * cos(radians(lat)) AS x1, (lat1 - lat) * 110540 AS y1, (lon2 - lon1) * 111320 * cos(radians(lat)) AS dx, (lat2 - lat1) * 110540 AS dy FROM pt, sg),
@@ -215,7 +214,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k AS (SELECT id, edge, distance, row_number() OVER (PARTITION BY id ORDER BY distance, edge) AS k FROM h WHERE distance <= 60)
     SELECT id, min(distance) AS nearest, max(distance) AS furthest, count(*) AS n FROM k WHERE k <= 3 GROUP BY id""")
 def nearest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = rounded(rg.nearest_edges(points(spark, sf_dir), crossroads(spark).segments, 60.0, 3, cell=0.001), 4, "distance")
+    near = rounded(rg.nearest_edges(points(spark, sf_dir).filter("id % 5 = 0"), crossroads(spark).segments, 60.0, 3, cell=0.001), 4, "distance")
     return near.groupBy("id").agg(F.min("distance").alias("nearest"), F.max("distance").alias("furthest"), F.count("*").alias("n"))
 
 
@@ -237,8 +236,8 @@ def session_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Steps, starts and reachable roads of drives over the crossroads, one per session of the event stream."""
-    rows = samples(spark, sf_dir).filter("row_idx <= 12")
+    """Steps, starts and reachable roads of drives over the crossroads, one per whole session of the event stream."""
+    rows = samples(spark, sf_dir)
     steps = rows.select(F.col("session").alias("outage"), F.col("row_idx").alias("k"), (F.col("speed_ms") / 2 + 2).alias("distance"), (F.col("gyr") * 12).alias("turn"), F.lit(3.0).alias("sigma"))
     ids = rows.select(F.col("session").alias("outage")).distinct()
     g = crossroads(spark, geo.distance)
@@ -266,7 +265,7 @@ def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def track_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chords of the decoded tracks: position, length and heading a second."""
-    path = mapmatch.track(*drives(spark, sf_dir), "viterbi").withColumn("id", F.col("outage") * 100 + F.col("k"))
+    path = mapmatch.track(*drives(spark, sf_dir), "viterbi").withColumn("id", F.shiftleft("outage", 32) + F.col("k"))
     g = crossroads(spark, geo.distance)
     at = rg.position_at(path.select("id", "d", "offset"), g.directed, g.segments).select("id", "lat", "lon")
     return rounded(rg.chords(path.join(at, "id"), ["outage"], "k", "lat", "lon"), 3, "distance", "heading")
@@ -299,8 +298,7 @@ def low_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def eskf_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = samples(spark, sf_dir).filter("row_idx <= 30")
-    seconds = rows.select("session", F.col("row_idx").alias("k"), F.lit(0.0).alias("heading0"), F.lit(0.0).alias("mount"), F.col("gyr").alias("rate"), F.col("speed_ms").alias("distance"), F.lit(1.5).alias("sigma"), "a1", "a2", (F.col("speed_ms") < 1).cast("double").alias("p_stationary"))
+    seconds = samples(spark, sf_dir).select("session", F.col("row_idx").alias("k"), F.lit(0.0).alias("heading0"), F.lit(0.0).alias("mount"), F.col("gyr").alias("rate"), F.col("speed_ms").alias("distance"), F.lit(1.5).alias("sigma"), "a1", "a2", (F.col("speed_ms") < 1).cast("double").alias("p_stationary"))
     return rounded(estimators.fused_headings(seconds), 6, "x", "y", "heading", "bias")
 
 
@@ -322,7 +320,7 @@ def gbt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session"), "l_quantity", "l_discount", "l_tax", (F.col("l_extendedprice") / 1000).alias("y"))
     split = learning.session_split(rows, "session")
     features = ["l_quantity", "l_discount", "l_tax"]
-    model = learning.fit_trees(split.filter("in_train"), features, "y", 5, 3)
+    model = learning.fit_trees(split.filter("in_train"), features, "y")
     out = learning.predict_trees(model, split.filter("not in_train"))
     return rounded(out.groupBy("session").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("prediction") - F.col("y"))).alias("mae")), 6, "mae")
 
