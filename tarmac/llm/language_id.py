@@ -5,14 +5,17 @@ A text is parsed against each automaton into longest matches: a phrase ends
 where no training substring continues it, or where it is ``MAX_PHRASE`` letters
 long. The language that needs the fewest phrases for the text's length wins.
 
-The automata's transitions, with restarts after a mismatch folded in, form one
-dense table, so that thousands of text segments are parsed in step by table
+Every letter of the samples counts as itself. The automata's transitions by the
+most frequent letters, with restarts after a mismatch folded in, form one dense
+table and those by other letters a sorted list, so that thousands of text segments are parsed in step by table
 lookups. Texts are cut to segments of ``segment`` code points for that; all
 segments of a text count, and a cut adds at most a phrase to every language.
 """
 
 from __future__ import annotations
 
+import functools
+from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -23,11 +26,12 @@ from pyspark.sql import functions as F
 #: Bounds of the sample a model is fitted on: rows and letters a language, and languages.
 TRAIN_ROWS, TRAIN_CHARS, MAX_LANGUAGES = 96, 16_000, 256
 SEGMENT = 1024
-REST = 0  # the class of everything that isn't a letter of the sample
+DENSE = 253
+REST = 0  # the class of everything that isn't a letter
 
 
-def suffix_automaton(codes: Iterable[int], classes: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a sequence: row 0 is the root, -1 is none."""
+def suffix_automaton(codes: Iterable[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a sequence, by state; state 0 is the root."""
     nexts: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -53,11 +57,13 @@ def suffix_automaton(codes: Iterable[int], classes: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[current] = twin
         last = current
-    table = np.full((len(nexts), classes), -1, np.int64)
-    for state, row in enumerate(nexts):
-        for c, to in row.items():
-            table[state, c] = to
-    return table
+    return nexts
+
+
+@functools.lru_cache(maxsize=1)
+def _is_letter() -> np.ndarray:
+    """By code point."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 class CrossParser:
@@ -69,20 +75,37 @@ class CrossParser:
     def __init__(self, samples: dict[str, list[str]], train_chars: int = TRAIN_CHARS, segment: int = SEGMENT) -> None:
         self.languages, self.segment = sorted(samples), segment
         texts = {k: self._sample(v, train_chars) for k, v in samples.items()}
-        letters = sorted({c for t in texts.values() for c in t if c.isalpha() and ord(c) < 0x3000})[:253]
-        self.classes = len(letters) + 3
-        self.other, self.stop = len(letters) + 1, len(letters) + 2
-        self.map = np.full(0x3000, REST, np.uint8)
-        for code in range(0x3000):
-            if chr(code).isalpha():
-                self.map[code] = self.other  # a letter that no sample has
-        for k, c in enumerate(letters):
+        # Every letter of the samples has a class. The DENSE most frequent ones and the two classes after them are
+        # columns of the table; the transitions of the other letters are kept by state and class.
+        times = Counter(c for t in texts.values() for c in t if c.isalpha())
+        letters = sorted(times, key=lambda c: (-times[c], c))
+        common, rare = sorted(letters[:DENSE]), sorted(letters[DENSE:])
+        self.classes = len(common) + 3
+        self.total = self.classes + len(rare)
+        self.other, self.stop = len(common) + 1, len(common) + 2
+        # A letter that no sample has is `other`.
+        self.map = np.where(_is_letter(), self.other, REST).astype(np.uint16 if self.total < 1 << 16 else np.int32)
+        for k, c in enumerate(common):
             self.map[ord(c)] = k + 1
+        for k, c in enumerate(rare):
+            self.map[ord(c)] = self.classes + k
+        keys, moves = [], []
+        self.rare_roots = np.full((len(self.languages), len(rare)), -1, np.int32)
         self.roots, rows, at = [], [], 0
-        for k in self.languages:
+        for language, k in enumerate(self.languages):
             codes = self.codes(texts[k])
             codes = codes[np.concatenate([[True], (codes[1:] != REST) | (codes[:-1] != REST)])] if len(codes) else codes
-            found = suffix_automaton(codes.tolist(), self.classes)
+            nexts = suffix_automaton(codes.tolist())
+            found = np.full((len(nexts), self.classes), -1, np.int64)
+            for state, row in enumerate(nexts):
+                for c, to in row.items():
+                    if c < self.classes:
+                        found[state, c] = to
+                    else:
+                        keys.append((state + at) * self.total + c)
+                        moves.append((to + at) * self.classes)
+                        if state == 0:
+                            self.rare_roots[language, c - self.classes] = moves[-1]
             start = found[0]
             # A mismatch ends the phrase, and the next one begins with the letter that ended it; a letter that the
             # sample doesn't have is a phrase of its own.
@@ -93,6 +116,8 @@ class CrossParser:
             rows.append(entry)
             self.roots.append(at * self.classes)
             at += len(found)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.moves = np.array(keys, np.int64)[order], np.array(moves, np.int32)[order]
         self.table = np.concatenate(rows).astype(np.int32).ravel() if rows else np.zeros(0, np.int32)
 
     @staticmethod
@@ -106,7 +131,22 @@ class CrossParser:
 
     def codes(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-        return np.where(points < 0x3000, self.map[np.minimum(points, 0x2FFF)], self.other).astype(np.uint8)
+        return self.map[points]
+
+    def _entries(self, state: np.ndarray, row: np.ndarray, roots: np.ndarray) -> np.ndarray:
+        """The table's entries for one class a column."""
+        rare = np.flatnonzero(row >= self.classes)
+        if not len(rare):
+            return self.table.take(state + row)
+        out = self.table.take(state + np.where(row < self.classes, row, REST))
+        at, c, root = state[:, rare], row[rare], roots[:, rare]
+        first = self.rare_roots[:, c - self.classes]
+        # As in the table: without a transition the phrase ends, and a letter that the sample doesn't have is one of its own.
+        miss = np.where(first >= 0, first + (1 << self.SHIFT), root + np.where(at == root, 1 << self.SHIFT, 2 << self.SHIFT))
+        key = at.astype(np.int64) // self.classes * self.total + c
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out[:, rare] = np.where(self.keys[place] == key, self.moves[place], miss)
+        return out
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text (row) in each language (column), and each text's number of letters."""
@@ -132,7 +172,7 @@ class CrossParser:
             state = np.repeat(np.array(self.roots, np.int32)[:, None], len(rows), axis=1)
             roots, ended = state.copy(), np.zeros(state.shape, np.int32)
             for row in codes:
-                entry = self.table.take(state + row)
+                entry = self._entries(state, row, roots)
                 ended += entry >> self.SHIFT
                 state = entry & ((1 << self.SHIFT) - 1)
             ended += state != roots  # an open phrase ends with the segment

@@ -50,3 +50,26 @@ def test_no_labels_and_empty(odd):
     none = odd.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in li.identify(none, li.fit(none, ~li.held_out())).collect()} == {"und"}
     assert li.identify(odd.limit(0), li.fit(odd.limit(0), ~li.held_out())).count() == 0
+
+
+def test_letters_beyond_the_dense_classes_parse_plainly():
+    """Thousands of distinct letters: those without a column in the table are told apart like the others."""
+    import random
+
+    rng = random.Random(4)
+    han = [chr(0x4E00 + k) for k in range(1500)]
+    samples = {"a": ["".join(rng.choice(han) for _ in range(3000))], "b": ["".join(rng.choice(han[700:] + ["\U00020000"]) for _ in range(3000))], "c": ["der hund und die katze"]}
+    parser = li.CrossParser(samples)
+    assert parser.total > 4 * li.DENSE
+    for text in (samples["a"][0][100:400], samples["b"][0][:300], "".join(rng.choice(han) for _ in range(300)), "hund" + "".join(han[:50]) + "katze", "\U00020000鿿" + han[0]):
+        counts, letters = parser.phrases([text])
+        assert counts[0].tolist() == [plain_phrases(text, samples[k][0]) for k in ("a", "b", "c")]
+        assert letters[0] == len(text)
+
+
+def test_cjk_texts_are_told_apart_and_signs_are_no_letters():
+    samples = {"ja": ["日本語の文章はひらがなと漢字で書かれています。東京は日本の首都です。"], "ko": ["한국어 문장은 한글로 쓰여 있습니다. 서울은 대한민국의 수도입니다."], "zh": ["中文句子是用汉字书写的。北京是中华人民共和国的首都。"]}
+    texts = ["東京は日本です", "서울은 대한민국의", "北京是中华人民", "😀😀 🎉", "！？，．", "、。〜", "ＡＢＣ"]
+    pred, score = li._judged(li.CrossParser(samples), texts)
+    assert pred[:6] == ["ja", "ko", "zh", "und", "und", "und"] and pred[6] != "und"
+    assert score[3:6] == [0.0, 0.0, 0.0]
