@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,12 +139,26 @@ def lowered(text: str | None) -> bytes:
 
 def release() -> None:
     """Gives a worker's freed memory back to the system: workers are reused, and their executor counts what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         return
 
 
+def released(run):
+    """A task over Arrow batches that releases its memory at its end, also where it fails or is stopped."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def chunks(batches, columns: list[str], size: int = 1 << 20):
     """Rows of Arrow batches as lists of columns, in chunks of about ``size`` characters of the last column."""
     held: list[list] = [[] for _ in columns]

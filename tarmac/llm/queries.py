@@ -82,7 +82,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = lm_scoring.held_out("doc_id", 7, 2)
     scored = lm_scoring.score(table(spark, sf_dir, "documents"), held)
-    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
