@@ -1,4 +1,4 @@
-"""Estimators with matrix state, and zero-phase filtering: grouped functions, one session or outage a group."""
+"""Estimators with state, as folds, and zero-phase filtering and live alignment as grouped functions."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def butterworth(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +74,7 @@ def low_pass(df: DataFrame, session: str, order_by: str, value: str, order: int
 
 @dataclass
 class FilterSettings:
-    """Noise of the error-state filter; lengths in metres, angles in radians, rates a second."""
+    """Noise of the heading filter; lengths in metres, angles in radians, rates a second."""
 
     lateral: float = 0.1
     stationary_gyro: float = 0.01
@@ -92,81 +93,124 @@ class FilterSettings:
     stationary_probability: float = 0.5
 
 
-class ErrorStateFilter:
-    """State (east-free plane) x, y, heading, gyro bias, mount yaw; updates in Joseph form."""
-
-    X, Y, H, B, M = range(5)
-
-    def __init__(self, heading: float, mount: float = 0.0, settings: FilterSettings | None = None) -> None:
-        s = self.s = settings or FilterSettings()
-        self.state = np.array([0.0, 0.0, heading, 0.0, mount])
-        self.cov = np.diag([1.0, 1.0, s.heading_start**2, s.bias_start**2, s.mount_start**2 if s.estimate_mount else 0.0])
-
-    def propagate(self, rate: float, metres: float, dt: float, sigma: float) -> None:
-        s, h = self.s, self.state[self.H]
-        c, n = math.cos(h), math.sin(h)
-        self.state += np.array([metres * c, metres * n, (rate - self.state[self.B]) * dt, 0.0, 0.0])
-        j = np.eye(5)
-        j[self.X, self.H], j[self.Y, self.H], j[self.H, self.B] = -metres * n, metres * c, -dt
-        noise = np.array([(sigma * c) ** 2, (sigma * n) ** 2, (s.gyro * dt) ** 2, s.bias_walk**2 * dt, s.mount_walk**2 * dt if s.estimate_mount else 0.0])
-        self.cov = j @ self.cov @ j.T + np.diag(noise)
-
-    def correct(self, residual: float, row: dict[int, float], variance: float) -> None:
-        h = np.zeros(5)
-        for k, v in row.items():
-            h[k] = v
-        total = float(h @ self.cov @ h + variance)
-        if not math.isfinite(total) or total <= 0:
-            return
-        gain = self.cov @ h / total
-        self.state = self.state + gain * residual
-        left = np.eye(5) - np.outer(gain, h)
-        self.cov = left @ self.cov @ left.T + np.outer(gain, gain) * variance
-
-    def lateral(self, a1: float, a2: float, rate: float, speed: float) -> float | None:
-        """The sideways force must be centripetal; nothing is learnt under 0.5 m/s."""
-        s = self.s
-        if not s.use_lateral or speed < 0.5:
-            return None
-        c, n = math.cos(self.state[self.M]), math.sin(self.state[self.M])
-        residual = a2 * c - a1 * n - speed * (rate - self.state[self.B])
-        row = {self.B: speed} | ({self.M: -(a1 * c + a2 * n)} if s.estimate_mount else {})
-        self.correct(residual, row, (s.lateral * (1 + s.turn_inflation * abs(rate))) ** 2)
-        return residual
-
-    def forward(self, a1: float, a2: float, change: float) -> None:
-        if self.s.use_forward:
-            c, n = math.cos(self.state[self.M]), math.sin(self.state[self.M])
-            self.correct(a1 * c + a2 * n - change, {self.M: a2 * c - a1 * n}, self.s.forward**2)
-
-    def stationary(self, rate: float) -> None:
-        """At rest the gyro reads its bias."""
-        if self.s.use_stationary:
-            self.correct(rate - self.state[self.B], {self.B: 1.0}, self.s.stationary_gyro**2)
+#: The angles that the filter estimates. Position is never measured: of its uncertainty only what it shares with the
+#: angles can move it, so two rows of that are carried, and its own variance is not.
+ANGLES = ("heading", "bias", "mount")
+MEANS = ("x", "y", *ANGLES)
+SHARED = [(p, a) for p in ("x", "y") for a in ANGLES] + [(a, b) for k, a in enumerate(ANGLES) for b in ANGLES[k:]]
 
 
-def fused_headings(seconds: DataFrame, key: str = "session", parts: int = 10, settings: FilterSettings | None = None) -> DataFrame:
-    """key, k, x, y, heading, bias of the filter run over each outage's seconds.
+def _shared(p: str, a: str) -> str:
+    return f"{p}_{a}" if (p, a) in SHARED else f"{a}_{p}"
+
+
+class _State:
+    """A state of the fold by name; ``with_`` replaces some of it."""
+
+    def __init__(self, values: dict[str, Column]) -> None:
+        self.values = values
+
+    @classmethod
+    def of(cls, s: Column) -> _State:
+        return cls({n: s[n] for n in (*MEANS, *(f"{p}_{a}" for p, a in SHARED))})
+
+    def __getitem__(self, key) -> Column:
+        return self.values[key] if isinstance(key, str) else self.values[_shared(*key)]
+
+    def with_(self, new: dict[str, Column]) -> _State:
+        return _State(self.values | new)
+
+    def struct(self, **more: Column) -> Column:
+        return F.struct(*(c.alias(n) for n, c in (self.values | more).items()))
+
+
+def _moved(s: _State, rate: Column, metres: Column, dt: float, noise: FilterSettings) -> _State:
+    """A step along the heading, which turns by the rate without its bias. The heading's row of the shared uncertainty shears position, the bias' shears heading."""
+    ahead = {"x": F.cos(s["heading"]) * metres, "y": F.sin(s["heading"]) * metres}
+    slope = {"x": -ahead["y"], "y": ahead["x"]}  # of the step by the heading
+    new = {p: s[p] + ahead[p] for p in ahead} | {"heading": s["heading"] + (rate - s["bias"]) * dt}
+    for p in ahead:
+        to = {a: s[p, a] + slope[p] * s["heading", a] for a in ANGLES}
+        new |= {_shared(p, a): to[a] - dt * to["bias"] if a == "heading" else to[a] for a in ANGLES}
+    new["heading_heading"] = s["heading", "heading"] - 2 * dt * s["heading", "bias"] + dt * dt * s["bias", "bias"] + (noise.gyro * dt) ** 2
+    new["heading_bias"] = s["heading", "bias"] - dt * s["bias", "bias"]
+    new["heading_mount"] = s["heading", "mount"] - dt * s["bias", "mount"]
+    new["bias_bias"] = s["bias", "bias"] + noise.bias_walk**2 * dt
+    if noise.estimate_mount:
+        new["mount_mount"] = s["mount", "mount"] + noise.mount_walk**2 * dt
+    return s.with_(new)
+
+
+def _measured(s: _State, miss: Column, of_bias: Column, of_mount: Column, variance: Column) -> _State:
+    """The state after one scalar measurement that is off by ``miss`` and depends on bias and mount alone.
 
-    ``seconds`` has k, heading0, mount, rate, distance, sigma, a1, a2, p_stationary.
+    With u the measurement's covariance with each quantity and S its own, means
+    move by u * miss / S and covariances lose u * u / S.
     """
+    u = {n: s[n, "bias"] * of_bias + s[n, "mount"] * of_mount for n in MEANS}
+    total = u["bias"] * of_bias + u["mount"] * of_mount + variance
+    new = {n: s[n] + u[n] * miss / total for n in MEANS} | {_shared(p, a): s[p, a] - u[p] * u[a] / total for p, a in SHARED}
+    useful = total > 0
+    return s.with_({n: F.when(useful, c).otherwise(s[n]) for n, c in new.items()})
+
+
+def _corrected(s: _State, r: Column, noise: FilterSettings) -> _State:
+    """A second's one measurement: at rest the gyro reads its bias; else, from 0.5 m/s on, the sideways force is the centripetal one."""
+    at_rest = r["p_stationary"] > noise.stationary_probability
+    cos, sin = F.cos(s["mount"]), F.sin(s["mount"])
+    sideways, along = r["a2"] * cos - r["a1"] * sin, r["a1"] * cos + r["a2"] * sin
+    turning = noise.lateral * (1 + noise.turn_inflation * F.abs(r["rate"]))
+    free = r["rate"] - s["bias"]
+    miss = F.when(at_rest, free).otherwise(sideways - r["distance"] * free)
+    of_bias = F.when(at_rest, 1.0).otherwise(r["distance"])
+    of_mount = F.when(at_rest | F.lit(not noise.estimate_mount), 0.0).otherwise(-along)
+    variance = F.when(at_rest, noise.stationary_gyro**2).otherwise(turning * turning)
+    used = F.when(at_rest, F.lit(noise.use_stationary)).otherwise(F.lit(noise.use_lateral) & (r["distance"] >= 0.5))
+    after = _measured(s, miss, of_bias, of_mount, variance)
+    out = s.with_({n: F.when(used, after[n]).otherwise(s[n]) for n in s.values})
+    return out
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k")
-        first = group.iloc[0]
-        f = ErrorStateFilter(float(first["heading0"]), float(first["mount"]), settings)
-        out = []
-        for r in group.itertuples():
-            for _ in range(parts):
-                f.propagate(r.rate, r.distance / parts, 1 / parts, r.sigma / math.sqrt(parts))
-            if r.p_stationary > f.s.stationary_probability:
-                f.stationary(r.rate)
-            else:
-                f.lateral(r.a1, r.a2, r.rate, r.distance)
-            out.append((getattr(r, key), r.k, *map(float, f.state[:4])))
-        return pd.DataFrame(out, columns=[key, "k", "x", "y", "heading", "bias"])
 
-    return seconds.groupBy(key).applyInPandas(run, f"`{key}` {dict(seconds.dtypes)[key]}, k long, x double, y double, heading double, bias double")
+def _pushed(s: _State, r: Column, noise: FilterSettings) -> _State:
+    """The force along the way is the change of speed: this sees the mount alone."""
+    cos, sin = F.cos(s["mount"]), F.sin(s["mount"])
+    after = _measured(s, r["a1"] * cos + r["a2"] * sin - r["change"], F.lit(0.0), r["a2"] * cos - r["a1"] * sin, F.lit(noise.forward**2))
+    return s.with_({n: F.when(r["p_stationary"] > noise.stationary_probability, s[n]).otherwise(after[n]) for n in s.values})
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fused_headings(seconds: DataFrame, key: str = "session", parts: int = 10, settings: FilterSettings | None = None) -> DataFrame:
+    """key, k, x, y, heading, bias: heading filtered by gyro, standstill and lateral force over each outage's seconds.
+
+    ``seconds`` has k, heading0, mount, rate, distance, a1, a2, p_stationary, and
+    change (of speed) where the forward force is used. Each second is moved in
+    ``parts`` steps and then measured once. A fold over an outage's rows in the
+    engine; an outage is short, so its rows fit an array.
+    """
+    noise = settings or FilterSettings()
+    names = ["rate", "distance", "a1", "a2", "p_stationary", *(["change"] if noise.use_forward else [])]
+    row = F.struct(F.col("k").cast("long").alias("k"), *(F.col(n).cast("double").alias(n) for n in names))
+    outages = seconds.groupBy(key).agg(F.min_by("heading0", "k").cast("double").alias("heading0"), F.min_by("mount", "k").cast("double").alias("mount"), F.array_sort(F.collect_list(row)).alias("rows"))
+    start = {"heading_heading": noise.heading_start**2, "bias_bias": noise.bias_start**2, "mount_mount": noise.mount_start**2 if noise.estimate_mount else 0.0}
+    zero = {n: F.lit(0.0) for n in MEANS} | {f"{p}_{a}": F.lit(float(start.get(f"{p}_{a}", 0.0))) for p, a in SHARED}
+    zero |= {"heading": F.col("heading0"), "mount": F.col("mount")}
+    none = F.expr("cast(array() as array<struct<k: bigint, x: double, y: double, heading: double, bias: double>>)")
+
+    def second(s: Column, r: Column) -> Column:
+        move = lambda t, _: _moved(_State.of(t), r["rate"], r["distance"] / parts, 1 / parts, noise).struct()
+        moved = F.aggregate(F.sequence(F.lit(1), F.lit(parts)), _State.of(s).struct(), move)
+        done = _let(moved, lambda t: _corrected(_State.of(t), r, noise).struct())
+        if noise.use_forward:
+            done = _let(done, lambda t: _pushed(_State.of(t), r, noise).struct())
+        shown = lambda t: F.array(F.struct(r["k"].alias("k"), *(t[n].alias(n) for n in ("x", "y", "heading", "bias"))))
+        return _let(done, lambda t: _State.of(t).struct(out=F.concat(s["out"], shown(t))))
+
+    folded = F.aggregate("rows", _State(zero).struct(out=none), second, lambda s: s["out"])
+    return outages.select(key, F.explode(folded).alias("r")).select(key, "r.*")
 
 
 def orthonormal(m: np.ndarray) -> np.ndarray:
@@ -200,7 +244,5 @@ def live_alignment(imu: DataFrame, session: str, order_by: str, dt: float) -> Da
 
 def static_tilt(df: DataFrame, session: str, ax: str, ay: str, az: str) -> DataFrame:
     """session, roll, pitch from the mean of a recording at rest."""
-    from pyspark.sql import functions as F
-
     m = df.groupBy(session).agg(F.avg(ax).alias("x"), F.avg(ay).alias("y"), F.avg(az).alias("z"))
     return m.select(session, F.atan2("y", "z").alias("roll"), F.atan2(-F.col("x"), F.sqrt(F.col("y") ** 2 + F.col("z") ** 2)).alias("pitch"))

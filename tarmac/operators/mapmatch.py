@@ -132,9 +132,9 @@ def transition(travelled: float, predicted: float, sigma: float, s: Settings) ->
 
 
 def class_prior(highway: str | None, speed: float, s: Settings) -> float:
-    """Penalty for speeds over what the road class suggests."""
-    cap = CLASS_MAX_MS.get(highway or "")
-    return 0.0 if cap is None or speed <= cap else -s.class_penalty * (speed - cap) / max(cap, 1.0)
+    """Log prior of a speed on a road class: falls by ``class_penalty`` for every multiple of the likely top speed beyond it; classes that aren't listed have none."""
+    excess = speed / CLASS_MAX_MS.get(highway or "", math.inf) - 1
+    return -s.class_penalty * excess if excess > 0 else 0.0
 
 
 def viterbi(roads: Roads, starts: list[tuple[int, float, float]], distances: list[float], turns: list[float], sigmas: list[float], s: Settings) -> list[tuple[int, float]]:

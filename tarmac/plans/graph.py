@@ -296,9 +296,18 @@ def low_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(estimators.low_pass(samples(spark, sf_dir), "session", "row_idx", "speed_ms"), 6, "smooth")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SAMPLES_SQL}, r AS (SELECT session, row_idx AS k, gyr AS rate, speed_ms AS v, a2, speed_ms < 1 AS still FROM samples),
+    z AS (SELECT session, 1::BIGINT AS k, 0 AS i, 0::DOUBLE AS x, 0::DOUBLE AS y, 0::DOUBLE AS h, 0::DOUBLE AS b, 0.0025::DOUBLE AS hh, 0::DOUBLE AS hb, 0.0025::DOUBLE AS bb, 0::DOUBLE AS xh, 0::DOUBLE AS xb, 0::DOUBLE AS yh, 0::DOUBLE AS yb FROM r WHERE k = 1
+        UNION ALL SELECT session, k + (i = 10)::INT, (i + 1) % 11, CASE WHEN i < 10 THEN x + dx ELSE x + g * (xb) END, CASE WHEN i < 10 THEN y + dy ELSE y + g * yb END,
+            CASE WHEN i < 10 THEN h + (rate - b) * 0.1::DOUBLE ELSE h + g * hb END, CASE WHEN i < 10 THEN b ELSE b + g * bb END,
+            CASE WHEN i < 10 THEN hh - 0.2::DOUBLE * hb + 0.01::DOUBLE * bb + 1e-6::DOUBLE ELSE hh - q * hb * hb END, CASE WHEN i < 10 THEN hb - 0.1::DOUBLE * bb ELSE hb - q * hb * bb END, CASE WHEN i < 10 THEN bb + 1e-11::DOUBLE ELSE bb - q * bb * bb END,
+            CASE WHEN i < 10 THEN xh - dy * hh - 0.1::DOUBLE * (xb - dy * hb) ELSE xh - q * xb * hb END, CASE WHEN i < 10 THEN xb - dy * hb ELSE xb - q * xb * bb END,
+            CASE WHEN i < 10 THEN yh + dx * hh - 0.1::DOUBLE * (yb + dx * hb) ELSE yh - q * yb * hb END, CASE WHEN i < 10 THEN yb + dx * hb ELSE yb - q * yb * bb END
+        FROM (SELECT *, v / 10 * cos(h) AS dx, v / 10 * sin(h) AS dy, w * miss / s AS g, w * w / s AS q FROM (SELECT *, w * w * bb + CASE WHEN still THEN 1e-4::DOUBLE ELSE power(0.1::DOUBLE * (1 + 8 * abs(rate)), 2) END AS s
+            FROM (SELECT z.*, r.rate, r.v, r.still, CASE WHEN still THEN 1::DOUBLE WHEN v >= 0.5 THEN v ELSE 0 END AS w, CASE WHEN still THEN rate - b ELSE a2 - v * (rate - b) END AS miss FROM z JOIN r ON z.session = r.session AND z.k = r.k))))
+    SELECT session, k - 1 AS k, round(x, 6) + 0.0::DOUBLE AS x, round(y, 6) + 0.0::DOUBLE AS y, round(h, 6) + 0.0::DOUBLE AS heading, round(b, 6) + 0.0::DOUBLE AS bias FROM z WHERE i = 0 AND k > 1""")
 def eskf_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seconds = samples(spark, sf_dir).select("session", F.col("row_idx").alias("k"), F.lit(0.0).alias("heading0"), F.lit(0.0).alias("mount"), F.col("gyr").alias("rate"), F.col("speed_ms").alias("distance"), F.lit(1.5).alias("sigma"), "a1", "a2", (F.col("speed_ms") < 1).cast("double").alias("p_stationary"))
+    seconds = samples(spark, sf_dir).select("session", F.col("row_idx").alias("k"), F.lit(0.0).alias("heading0"), F.lit(0.0).alias("mount"), F.col("gyr").alias("rate"), F.col("speed_ms").alias("distance"), "a1", "a2", (F.col("speed_ms") < 1).cast("double").alias("p_stationary"))
     return rounded(estimators.fused_headings(seconds), 6, "x", "y", "heading", "bias")
 
 

@@ -101,14 +101,49 @@ def test_zero_phase_filter():
     assert np.allclose(estimators.zero_phase(np.ones(50)), 1)
 
 
-def test_error_state_filter_learns_the_bias():
-    f = estimators.ErrorStateFilter(0.0)
-    for _ in range(50):
-        f.propagate(0.03, 0.0, 0.1, 0.5)
-        f.stationary(0.03)
-    assert f.state[3] == pytest.approx(0.03, abs=1e-3)
-    assert np.allclose(f.cov, f.cov.T) and np.all(np.linalg.eigvalsh(f.cov) > -1e-12)
-    assert f.lateral(0.0, 0.0, 0.1, 0.3) is None
+def matrix_filter(rows, heading, mount, n, parts):
+    """The heading filter by full matrices: state x, y, heading, bias, mount."""
+    state, cov, out = np.array([0, 0, heading, 0, mount], float), np.diag([1, 1, n.heading_start**2, n.bias_start**2, n.mount_start**2 if n.estimate_mount else 0.0]), []
+
+    def update(state, cov, miss, h, variance):
+        gain = cov @ h / (h @ cov @ h + variance)
+        left = np.eye(5) - np.outer(gain, h)
+        return state + gain * miss, left @ cov @ left.T + np.outer(gain, gain) * variance
+
+    for rate, metres, a1, a2, still, change in rows:
+        for _ in range(parts):
+            c, s, dt, d = np.cos(state[2]), np.sin(state[2]), 1 / parts, metres / parts
+            jacobian = np.eye(5)
+            jacobian[[0, 1, 2], [2, 2, 3]] = [-d * s, d * c, -dt]
+            state = state + [d * c, d * s, (rate - state[3]) * dt, 0, 0]
+            cov = jacobian @ cov @ jacobian.T + np.diag([(0.4 * c) ** 2, (0.4 * s) ** 2, (n.gyro * dt) ** 2, n.bias_walk**2 * dt, n.mount_walk**2 * dt * n.estimate_mount])
+        c, s = np.cos(state[4]), np.sin(state[4])
+        if still > 0.5:
+            state, cov = update(state, cov, rate - state[3], np.array([0, 0, 0, 1.0, 0]), n.stationary_gyro**2)
+        else:
+            if metres >= 0.5:
+                h = np.array([0, 0, 0, metres, -(a1 * c + a2 * s) * n.estimate_mount])
+                state, cov = update(state, cov, a2 * c - a1 * s - metres * (rate - state[3]), h, (n.lateral * (1 + n.turn_inflation * abs(rate))) ** 2)
+            if n.use_forward:
+                c, s = np.cos(state[4]), np.sin(state[4])
+                state, cov = update(state, cov, a1 * c + a2 * s - change, np.array([0, 0, 0, 0, a2 * c - a1 * s]), n.forward**2)
+        out.append(state[:4].tolist())
+    return out
+
+
+@pytest.mark.parametrize("more", [{}, {"estimate_mount": True, "mount_start": 0.3, "use_forward": True}])
+def test_heading_filter_matches_full_matrices(spark, more):
+    noise = estimators.FilterSettings(**more)
+    rng = np.random.default_rng(9)
+    rows = [(float(rng.normal(0.02, 0.05)), float(rng.uniform(0, 12)), float(rng.normal()), float(rng.normal()), float(k % 7 == 0), float(rng.normal(0, 0.3))) for k in range(25)]
+    df = spark.createDataFrame([(1, k, 0.3, 0.1, *r) for k, r in enumerate(rows)], "session long, k long, heading0 double, mount double, rate double, distance double, a1 double, a2 double, p_stationary double, change double")
+    got = [[r.x, r.y, r.heading, r.bias] for r in estimators.fused_headings(df, settings=noise, parts=4).orderBy("k").collect()]
+    assert np.allclose(got, matrix_filter(rows, 0.3, 0.1, noise, 4), atol=1e-7)
+
+
+def test_heading_filter_learns_the_bias(spark):
+    df = spark.range(50).select(F.lit(1).alias("session"), F.col("id").alias("k"), *(F.lit(v).alias(n) for n, v in (("heading0", 0.0), ("mount", 0.0), ("rate", 0.03), ("distance", 0.0), ("a1", 0.0), ("a2", 0.0), ("p_stationary", 1.0))))
+    assert estimators.fused_headings(df).orderBy("k").collect()[-1].bias == pytest.approx(0.03, abs=1e-3)
 
 
 def test_ridge_penalises_the_intercept(spark):
