@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarmac.llm.common import released
+
 BLOCK_CHARS = 16_000_000
 
 #: White space as Unicode has it; the interpreter's own \\s holds more.
@@ -135,7 +137,7 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int) -> Da
         if ids:
             yield from done(ids, valid, counts, numbers, list(known))
 
-    return docs.mapInArrow(run, ROW)
+    return docs.mapInArrow(released(run), ROW)
 
 
 def _encode_words(rows: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -159,7 +161,7 @@ def _encode_words(rows: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
                 flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
                 yield _batch([(row["dest"], row["block"], 2, row["bucket"], None, _pack(flat), _pack(sizes), None)])
 
-    return rows.mapInArrow(run, ROW)
+    return rows.mapInArrow(released(run), ROW)
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -229,7 +231,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             yield from map(shaped, done())
 
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decode_too
-    return answered.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(run, schema)
+    return answered.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(released(run), schema)
 
 
 def decode(encoded: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
@@ -242,7 +244,7 @@ def decode(encoded: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
             texts = [b"".join([tokens[x] for x in np.frombuffer(i or b"", "<u4").tolist()]) for i in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], [*names, "decoded"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded binary")
+    return encoded.mapInArrow(released(run), ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes) + ", decoded binary")
 
 
 def vocabulary(path: str) -> bytes:

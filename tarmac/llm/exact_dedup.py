@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import HEAVY, Scratch, lookup, lowered
+from tarmac.llm.common import HEAVY, Scratch, lookup, lowered, released
 
 
 def _log(docs: DataFrame) -> DataFrame:
@@ -31,7 +31,7 @@ def _log(docs: DataFrame) -> DataFrame:
             digests = [hashlib.sha256(lowered(t)).digest() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary())], ["doc_id", "sha"])
 
-    return docs.mapInArrow(run, "doc_id long, sha binary")
+    return docs.mapInArrow(released(run), "doc_id long, sha binary")
 
 
 def _flush(log: DataFrame, memtable_rows: int, sign: int) -> DataFrame:
@@ -63,7 +63,7 @@ def _flush(log: DataFrame, memtable_rows: int, sign: int) -> DataFrame:
         if table:
             yield flushed()
 
-    return log.select("doc_id", "key").mapInArrow(run, "key binary, rank long, n long")
+    return log.select("doc_id", "key").mapInArrow(released(run), "key binary, rank long, n long")
 
 
 def _positions() -> list[Column]:
@@ -100,7 +100,7 @@ def _probe(docs: DataFrame, bits: np.ndarray, digest_bytes: int) -> DataFrame:
                 ids, keys, bodies = zip(*hits[at : at + 1000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(bodies, pa.binary())], ["doc_id", "key", "body"])
 
-    return docs.mapInArrow(run, "doc_id long, key binary, body binary")
+    return docs.mapInArrow(released(run), "doc_id long, key binary, body binary")
 
 
 def _mismatches(docs: DataFrame, index: DataFrame, total: int, filter_bits: int, digest_bytes: int, salts: int = 64) -> DataFrame:

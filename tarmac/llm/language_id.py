@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.llm.common import released
+
 #: Bounds of the sample a model is fitted on: rows and letters a language, and languages.
 TRAIN_ROWS, TRAIN_CHARS, MAX_LANGUAGES = 96, 16_000, 256
 SEGMENT = 1024
@@ -213,15 +215,15 @@ def identify(docs: DataFrame, parser: CrossParser, id_col: str = "doc_id", text_
             pred, score = _judged(parser, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), "doc_id long, lang_pred string, score double")
 
 
 def _judged(parser: CrossParser, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and score of each text."""
     texts, pred, score, at = [t or "" for t in texts], [], [], 0
-    while at < len(texts):
+    while at < len(texts):  # parts of about a million letters
         end, size = at, 0
-        while end < len(texts) and (size < 4_000_000 or end == at):
+        while end < len(texts) and (size < 1_000_000 or end == at):
             size += len(texts[end])
             end += 1
         part = texts[at:end]
@@ -246,7 +248,7 @@ def keep_identified(docs: DataFrame, parser: CrossParser, text_col: str = "text"
             pred, _ = _judged(parser, b.column(text_col).to_pylist())
             yield b.filter(pa.array([p != "und" for p in pred], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> F.Column:

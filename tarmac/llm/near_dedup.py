@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import Scratch, WordHasher, chunks, lookup, lowered, mix64
+from tarmac.llm.common import Scratch, WordHasher, chunks, lookup, lowered, mix64, released
 from tarmac.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -77,7 +77,7 @@ def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
                 ["doc_id", "n", "set_key", "sketch"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, set_key binary, sketch array<long>")
+    return docs.mapInArrow(released(run), "doc_id long, n long, set_key binary, sketch array<long>")
 
 
 def _similar_size(a: str, b: str, percent: int) -> F.Column:
@@ -149,7 +149,7 @@ def verify(texts: DataFrame, pairs: DataFrame, percent: int = PERCENT, group: in
                 yield _links(found)
 
     ordered = _requested(texts, requests).repartition("a", "part").sortWithinPartitions("a", "part", "role").select("a", "part", "role", "doc_id", "text")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(released(run), "a long, b long")
 
 
 def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -245,7 +245,7 @@ def _across(clusters: DataFrame, labels: DataFrame, texts: DataFrame, percent: i
 
     by = ["a", "kind", "i", "j"]
     ordered = _requested(texts, requests).repartition(*by).sortWithinPartitions(*by, "side", "doc_id").select(*by, "side", "component", "doc_id", "text")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(released(run), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = SKETCH, need: int = NEED, least: float = LEAST_ESTIMATE) -> DataFrame:
