@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +24,11 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import Scratch, WordHasher, lookup, mix64
+from tarmac.llm.common import Scratch, WordHasher, lookup, mix64, released
 
 CHAIN, DISTANCE, PERCENT = 2, 1, 75
+#: Ranges of a few thousand rows that texts are dealt by, and rows that the driver holds for them.
+MOST_RANGES = 1_000_000
 
 #: The anchors, common words of English, German, French and Spanish.
 ANCHORS = (
@@ -100,32 +103,45 @@ def text_of(signatures: np.ndarray) -> str:
 
 
 def _ranges(docs: DataFrame, rows_each: int = 4000) -> DataFrame:
-    """Adds ``range``, ascending with doc_id (null first)."""
-    n = docs.count()
-    parts = max(1, min(10_000, n // rows_each))
-    cuts = docs.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)] or [0.5], 10 * parts)).first()[0] or []
-    splits = [-math.inf, *sorted({float(x) for x in cuts}), math.inf]
-    out = Bucketizer(splits=splits, inputCol="__place", outputCol="__range").transform(docs.withColumn("__place", F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf))))
-    out = out.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("__range").cast("int"))).drop("__place", "__range")
-    return out
+    """Adds ``range``, ascending with doc_id (null first) and ``tie``, of about ``rows_each`` rows.
+
+    Borders are approximate quantiles. An identifier that several quantiles fall on
+    fills that many ranges, and so do rows without one; these are split by ``tie``.
+    """
+    count, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    parts = max(1, min(MOST_RANGES, count // rows_each))
+    cuts = docs.select(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
+    times = Counter(cuts or [])
+    borders = sorted(times)
+    place = F.coalesce(F.col("doc_id").cast("double"), F.lit(-math.inf))
+    if borders:
+        splits = [-math.inf, *(float(x) for x in borders), math.inf]
+        rows = Bucketizer(splits=splits, inputCol="place", outputCol="bucket").transform(docs.withColumn("place", place)).drop("place")
+    else:
+        rows = docs.withColumn("bucket", F.lit(0.0))
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("bucket").cast("int")))
+    heavy = [(k + 1, v, times[v]) for k, v in enumerate(borders) if times[v] > 1] + [(-1, None, max(1, nulls // rows_each))]
+    most = max(n for *_, n in heavy) + 1
+    split = F.broadcast(docs.sparkSession.createDataFrame(heavy, "bucket int, v long, pieces int"))  # a row a border at most
+    own = (F.col("tie") / F.lit(2.0**64) + 0.5) * F.col("pieces")
+    piece = F.when(F.col("pieces").isNotNull() & F.col("doc_id").eqNullSafe(F.col("v")), F.least(F.floor(own), F.col("pieces") - 1)).otherwise(F.lit(most - 1))
+    return rows.join(split, "bucket", "left").withColumn("range", F.col("bucket").cast("long") * most + piece).drop("bucket", "v", "pieces")
 
 
 def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     """Gives ``run`` each range's rows in order, followed by the first row of the next range.
 
-    Rows are dealt by ranges of doc_id of a few thousand rows, borders from
-    approximate quantiles, so whole texts are shuffled once and no task holds more
-    than its range. The last range is followed by the first row of all.
+    Rows are dealt by ranges of a few thousand rows, so whole texts are shuffled
+    once and no task holds more than its range. The last range is followed by the first row of all.
     Batches have columns doc_id, text, range and extra (1 for the added row).
     """
-    ranged = _ranges(docs.select("doc_id", "text"))
-    ranged = ranged.withColumn("tie", F.xxhash64("text"))
+    ranged = _ranges(docs.select("doc_id", "text", F.xxhash64("text").alias("tie")))
     heads = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "tie")).alias("head")).collect()  # a row a range
     order = sorted(r["range"] for r in heads)
     before = {r: order[k - 1] for k, r in enumerate(order)}
     spark = docs.sparkSession
     table = [(r["range"], r["head"]["doc_id"], r["head"]["tie"], before[r["range"]]) for r in heads]
-    first = F.broadcast(spark.createDataFrame(table, "r int, d long, t long, previous int"))
+    first = F.broadcast(spark.createDataFrame(table, "r long, d long, t long, previous long"))
     hit = (F.col("range") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t"))
     rows = ranged.join(first, hit, "left")
     own = F.struct(F.col("range").alias("range"), F.lit(0).alias("extra"))
@@ -134,7 +150,7 @@ def with_next(docs: DataFrame, run, schema: str) -> DataFrame:
     rows = rows.select(F.col("to.range").alias("range"), F.col("to.extra").alias("extra"), "doc_id", "tie", "text")
     parts = max(len(order), 1)
     dealt = rows.repartition(parts, "range").sortWithinPartitions("range", "extra", "doc_id", "tie")
-    return dealt.select("range", "extra", "doc_id", "text").mapInArrow(run, schema)
+    return dealt.select("range", "extra", "doc_id", "text").mapInArrow(released(run), schema)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = CHAIN, distance: int = DISTANCE) -> DataFrame:
@@ -147,7 +163,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lists = pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), lists], ["doc_id", "n_signatures", "signatures"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_signatures long, signatures array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), "doc_id long, n_signatures long, signatures array<long>")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,7 +173,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     many, or all, of the next row's text, in ascending order of doc_id (null first,
     ties by a hash of the text); the last row is followed by the first, and a
     single row by itself. Null text is empty. Equal texts have equal fingerprints,
-    and two empty fingerprints have likeness 1.
+    and two empty fingerprints have likeness 1. An empty table gives no rows; rows
+    that repeat an identifier, or have none, are separate rows.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
