@@ -15,8 +15,8 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [pii.count_of("base", k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
-    return found.select("doc_id", *counts, F.sha2(pii.rendered("base"), 256).alias("base_sha256"), pii.rendered("spans").alias("spans"))
+    counts = [pii.count_of("base", k).alias(f"n_{kind}") for k, kind in enumerate(pii.BASE_KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.rendered("base"), 256).alias("base_sha256"), pii.rendered("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
