@@ -1,6 +1,6 @@
 """All registered queries of the engine."""
 
-from tarmac.plans import graph, metrics, replay, reports, timeseries  # noqa: F401
+from tarmac.plans import graph, metrics, predictors, replay, reports, timeseries  # noqa: F401
 from tarmac.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

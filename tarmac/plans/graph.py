@@ -202,7 +202,7 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rg.successors(crossroads(spark).directed).select("d", "next")
 
 
-POINTS_SQL = f"""{SAMPLES_SQL}, pt AS (SELECT event_id AS id, 51.4995::DOUBLE + (event_id % 11) * 1e-4::DOUBLE AS lat, -2.5005::DOUBLE + (event_id % 13) * 1e-4::DOUBLE AS lon FROM samples WHERE event_id % 5 = 0)"""
+POINTS_SQL = f"""{SAMPLES_SQL}, pt AS (SELECT event_id AS id, 51.4995::DOUBLE + (event_id % 11) * 1e-4::DOUBLE AS lat, -2.5005::DOUBLE + (event_id % 13) * 1e-4::DOUBLE AS lon FROM samples)"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,11 +214,23 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     k AS (SELECT id, edge, distance, row_number() OVER (PARTITION BY id ORDER BY distance, edge) AS k FROM h WHERE distance <= 60)
     SELECT id, min(distance) AS nearest, max(distance) AS furthest, count(*) AS n FROM k WHERE k <= 3 GROUP BY id""")
 def nearest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = rounded(rg.nearest_edges(points(spark, sf_dir).filter("id % 5 = 0"), crossroads(spark).segments, 60.0, 3, cell=0.001), 4, "distance")
+    near = rounded(rg.nearest_edges(points(spark, sf_dir), crossroads(spark).segments, 60.0, 3, cell=0.001), 4, "distance")
     return near.groupBy("id").agg(F.min("distance").alias("nearest"), F.max("distance").alias("furthest"), F.count("*").alias("n"))
 
 
-@query()
+#: Directions of the crossroads: both ways of an edge, its length and its bearings on arrival and departure (geodesic to first order in the mid-latitude).
+DIRECTED_SQL = """az AS (SELECT *, atan2((lon2 - lon1) * cos(radians((lat1 + lat2) / 2)), lat2 - lat1) - radians(lon2 - lon1) / 2 * sin(radians((lat1 + lat2) / 2)) AS b, coalesce(sum(metres) OVER (PARTITION BY edge ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM sg),
+    ends AS (SELECT edge, sum(metres) AS len, min_by(b, i) AS fb, max_by(b, i) AS lb, min_by(from_node, i) AS a, max_by(to_node, i) AS z FROM az GROUP BY edge),
+    dir AS (SELECT edge * 2 AS d, edge, 0 AS r, a AS f, z AS t, len, lb AS entry, fb AS leave FROM ends UNION ALL SELECT edge * 2 + 1, edge, 1, z, a, len, fb + pi(), lb + pi() FROM ends JOIN e USING (edge) WHERE NOT oneway)"""
+
+
+@query(f"""WITH {SAMPLES_SQL}, {CROSS_SQL}, {DIRECTED_SQL}, pt AS (SELECT event_id AS id, 51.4995::DOUBLE + (event_id % 11) * 1e-4::DOUBLE AS lat, -2.5005::DOUBLE + (event_id % 13) * 1e-4::DOUBLE AS lon, radians(heading_deg) AS heading FROM samples),
+    v AS (SELECT id, heading, edge, i, b, cum, metres, (lon1 - lon) * 111320 * cos(radians(lat)) AS x1, (lat1 - lat) * 110540 AS y1, (lon2 - lon1) * 111320 * cos(radians(lat)) AS dx, (lat2 - lat1) * 110540 AS dy FROM pt, az),
+    h AS (SELECT *, greatest(0, least(1, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) AS f FROM v), z AS (SELECT *, sqrt(power(x1 + f * dx, 2) + power(y1 + f * dy, 2)) AS distance, cum + f * metres AS o FROM h),
+    q AS (SELECT *, row_number() OVER (PARTITION BY id, edge ORDER BY distance, i) AS first FROM z WHERE distance <= 60), o AS (SELECT id, edge, heading, distance, o FROM q WHERE first = 1),
+    at_ AS (SELECT o.*, az.b FROM o JOIN az ON az.edge = o.edge AND cum <= o.o + 1e-9 AND o.o <= cum + metres + 1e-9), two AS (SELECT at_.*, d, CASE WHEN r = 1 THEN len - o ELSE o END AS along, b + r * pi() - heading AS raw FROM at_ JOIN dir ON dir.edge = at_.edge),
+    k AS (SELECT *, distance + 20 * abs(atan2(sin(raw), cos(raw))) / pi() AS score FROM two WHERE abs(atan2(sin(raw), cos(raw))) <= 1.0471975511965976::DOUBLE), m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score, d, along, distance) AS first FROM k)
+    SELECT id, d::BIGINT AS d, round(along, 4) AS "offset", round(distance, 4) AS distance, round(score, 4) AS score FROM m WHERE first = 1""")
 def snap_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = crossroads(spark)
     return rounded(rg.snapped(points(spark, sf_dir), g.segments, g.directed, 60.0), 4, "offset", "distance", "score")
@@ -240,18 +252,42 @@ def drives(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     rows = samples(spark, sf_dir)
     steps = rows.select(F.col("session").alias("outage"), F.col("row_idx").alias("k"), (F.col("speed_ms") / 2 + 2).alias("distance"), (F.col("gyr") * 12).alias("turn"), F.lit(3.0).alias("sigma"))
     ids = rows.select(F.col("session").alias("outage")).distinct()
-    g = crossroads(spark, geo.distance)
+    g = crossroads(spark)
     start = F.pmod("outage", F.lit(4)).cast("int")
     starts = ids.select("outage", F.element_at(F.array(*(F.lit(x) for x in (0, 3, 20000, 20003))), start + 1).cast("long").alias("d"), F.lit(5.0).alias("offset"), F.lit(0.0).alias("weight"))
     seen = ids.select("outage", F.lit(51.5).alias("lat"), F.lit(-2.5).alias("lon"), F.lit(500.0).alias("reach"))
     return steps, starts, mapmatch.reachable(seen, g.directed, g.segments)
 
 
-@query()
+#: One row a hop: a second's distance is used up along the edges, and at each junction the direction next to the observed turn is taken.
+GREEDY_SQL = f"""{SAMPLES_SQL}, {CROSS_SQL}, {DIRECTED_SQL}, turn AS (SELECT session, row_idx AS k, speed_ms / 2 + 2 AS metres, gyr * 12 AS turn FROM samples),
+    nx AS (SELECT p.d, q.d AS nd, p.edge = q.edge AS back, q.leave - p.entry AS raw FROM dir p JOIN dir q ON p.t = q.f), na AS (SELECT *, count(*) FILTER (NOT back) OVER (PARTITION BY d) AS ahead, atan2(sin(raw), cos(raw)) AS angle FROM nx),
+    opt AS (SELECT session, k, d, nd, abs(angle) AS straight, abs(atan2(sin(angle - turn), cos(angle - turn))) AS miss, ahead FROM na, turn WHERE NOT back OR ahead = 0),
+    ord AS (SELECT *, min(miss) OVER (PARTITION BY session, k, d) AS least FROM opt),
+    ch AS (SELECT session, k, d, nd FROM (SELECT *, row_number() OVER (PARTITION BY session, k, d ORDER BY CASE WHEN ahead < 2 THEN nd WHEN least <= radians(75) THEN miss ELSE straight END, nd) AS first FROM ord) WHERE first = 1),
+    go AS (SELECT session, 0::BIGINT AS k, [0, 3, 20000, 20003][(session % 4 + 1)::INT]::BIGINT AS d, 5::DOUBLE AS o, 0::DOUBLE AS rest, true AS done FROM samples GROUP BY session
+        UNION ALL SELECT session, k, CASE WHEN nd IS NULL OR done OR rest < room OR rest <= 0 THEN d ELSE nd END, CASE WHEN done THEN o WHEN rest < room THEN o + greatest(rest, 0) WHEN rest <= 0 THEN o WHEN nd IS NULL THEN len ELSE 0 END,
+            CASE WHEN done THEN metres WHEN rest < room OR rest <= 0 THEN 0 ELSE rest - greatest(room, 0) END, NOT done AND (rest < room OR rest <= 0 OR nd IS NULL)
+        FROM (SELECT go.session, go.k + go.done::INT AS k, go.d, go.o, go.rest, go.done, dir.len, dir.len - go.o AS room, turn.metres, ch.nd FROM go JOIN dir ON dir.d = go.d JOIN turn ON turn.session = go.session AND turn.k = go.k + go.done::INT LEFT JOIN ch ON ch.session = go.session AND ch.k = go.k + go.done::INT AND ch.d = go.d))"""
+
+
+@query(f"""WITH RECURSIVE {GREEDY_SQL} SELECT session AS outage, k, d, round(o, 4) AS "offset" FROM go WHERE done""")
 def greedy_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mapmatch.track(*drives(spark, sf_dir), "greedy"), 4, "offset")
 
 
+@query(f"""WITH RECURSIVE {GREEDY_SQL}, gone AS (SELECT session, k, go.d, r, edge, greatest(0, least(o, len)) AS cut, len FROM go JOIN dir ON dir.d = go.d WHERE done), y AS (SELECT *, CASE WHEN r = 1 THEN len - cut ELSE cut END AS along FROM gone),
+    lies AS (SELECT y.*, az.cum, az.metres, lat1, lon1, lat2, lon2, b, row_number() OVER (PARTITION BY session, k ORDER BY az.cum DESC) AS first FROM y JOIN az ON az.edge = y.edge AND az.cum <= along + 1e-9 AND along <= az.cum + az.metres + 1e-9)
+    SELECT session AS outage, k, round(lat1 + (lat2 - lat1) * (along - cum) / metres, 8) AS lat, round(lon1 + (lon2 - lon1) * (along - cum) / metres, 8) AS lon, round(sin(b + r * pi()), 5) + 0.0::DOUBLE AS east, round(cos(b + r * pi()), 5) + 0.0::DOUBLE AS north FROM lies WHERE first = 1""")
+def track_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the greedy tracks are each second, and the direction they go."""
+    path = mapmatch.track(*drives(spark, sf_dir), "greedy").withColumn("id", F.struct("outage", "k"))
+    g = crossroads(spark)
+    at = rg.position_at(path.select("id", "d", "offset"), g.directed, g.segments)
+    out = at.select("id.outage", "id.k", "lat", "lon", F.sin("bearing").alias("east"), F.cos("bearing").alias("north"))
+    return rounded(rounded(out, 8, "lat", "lon"), 5, "east", "north")
+
+
 @query()
 def beam_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mapmatch.track(*drives(spark, sf_dir), "beam"), 4, "offset")
@@ -266,7 +302,7 @@ def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def track_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chords of the decoded tracks: position, length and heading a second."""
     path = mapmatch.track(*drives(spark, sf_dir), "viterbi").withColumn("id", F.shiftleft("outage", 32) + F.col("k"))
-    g = crossroads(spark, geo.distance)
+    g = crossroads(spark)
     at = rg.position_at(path.select("id", "d", "offset"), g.directed, g.segments).select("id", "lat", "lon")
     return rounded(rg.chords(path.join(at, "id"), ["outage"], "k", "lat", "lon"), 3, "distance", "heading")
 
@@ -291,7 +327,28 @@ def teacher_forcing(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- filters with matrix state, learning
 
 
-@query()
+def low_pass_sql(order: int = 3, cutoff: float = 0.1) -> str:
+    """The filter as two recursions over the odd extension of each session, with its coefficients as values."""
+    b, a = estimators.butterworth(order, cutoff)
+    z = estimators._steady(b, a)
+    n = lambda x: f"{float(x)!r}::DOUBLE"
+    step = lambda y: ", ".join(f"{f's{i + 1} + ' if i < order else ''}{n(b[i])} * x - {n(a[i])} * {y}" for i in range(1, order + 1))
+    pad = 3 * (order + 1)
+    states = ", ".join(f"s{i}" for i in range(1, order + 1))
+    first = ", ".join(f"{n(v)} * x AS s{i + 1}" for i, v in enumerate(z))
+
+    def run(name: str, source: str) -> str:
+        y = f"({n(b[0])} * x + s1)"
+        return f"""{name} AS (SELECT session, 0::BIGINT AS p, NULL::DOUBLE AS y, {first} FROM {source} WHERE p = 1 UNION ALL SELECT {name}.session, {source}.p, {y}, {step(y)} FROM {name} JOIN {source} ON {source}.session = {name}.session AND {source}.p = {name}.p + 1)"""
+
+    return f"""WITH RECURSIVE {SAMPLES_SQL}, m AS (SELECT session, count(*) AS n, min_by(speed_ms, row_idx) AS f, max_by(speed_ms, row_idx) AS l FROM samples GROUP BY session),
+    ext AS (SELECT session, row_idx + {pad} AS p, speed_ms AS x FROM samples JOIN m USING (session) WHERE n > {pad} UNION ALL SELECT session, {pad} + 2 - row_idx, 2 * f - speed_ms FROM samples JOIN m USING (session) WHERE n > {pad} AND row_idx BETWEEN 2 AND {pad} + 1
+        UNION ALL SELECT session, {pad} + n + (n - row_idx), 2 * l - speed_ms FROM samples JOIN m USING (session) WHERE n > {pad} AND row_idx BETWEEN n - {pad} AND n - 1),
+    {run('ahead', 'ext')}, turned AS (SELECT session, n + {2 * pad} + 1 - p AS p, y AS x FROM ahead JOIN m USING (session) WHERE p > 0), {run('back', 'turned')}
+    SELECT session, n + {pad} + 1 - p AS row_idx, round(y, 6) + 0.0::DOUBLE AS smooth FROM back JOIN m USING (session) WHERE p > {pad} AND p <= n + {pad} UNION ALL SELECT session, row_idx, round(speed_ms, 6) FROM samples JOIN m USING (session) WHERE n <= {pad}"""
+
+
+@query(low_pass_sql())
 def low_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(estimators.low_pass(samples(spark, sf_dir), "session", "row_idx", "speed_ms"), 6, "smooth")
 

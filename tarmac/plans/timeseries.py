@@ -75,12 +75,12 @@ def interp_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("session", "k", F.round("speed_ms", 6).alias("speed_ms"))
 
 
-@query(f"""{S}, {GRID_SQL}, third AS (SELECT * FROM samples WHERE row_idx % 3 = 0), enough AS (SELECT session FROM third GROUP BY session HAVING count(*) >= 10),
-    sub AS (SELECT * FROM third SEMI JOIN enough USING (session)), {lerp_sql('a1', 'i', clamp=False, points='sub')} SELECT session, k, round(v, 6) AS a1 FROM i""")
+@query(f"""{S}, {GRID_SQL}, enough AS (SELECT session FROM samples GROUP BY session HAVING count(*) >= 10),
+    sub AS (SELECT * FROM samples SEMI JOIN enough USING (session)), {lerp_sql('a1', 'i', clamp=False, points='sub')} SELECT session, k, round(v, 6) AS a1 FROM i""")
 def sensor_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir)
     grid = ts.uniform_grid(rows, "session", "t", GRID_STEP)
-    return ts.sensor_grid(rows.filter("row_idx % 3 = 0"), grid, "session", "t", "a1").select("session", "k", F.round("a1", 6).alias("a1"))
+    return ts.sensor_grid(rows, grid, "session", "t", "a1").select("session", "k", F.round("a1", 6).alias("a1"))
 
 
 @query(f"""{S}, {GRID_SQL}, {lerp_sql('speed_ms', 'i')}, n AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b, t - lag(t) OVER w AS hs, lead(t) OVER w - t AS hd FROM i WINDOW w AS (PARTITION BY session ORDER BY k))

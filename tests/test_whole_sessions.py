@@ -1,15 +1,10 @@
 """Registered queries over whole sessions and all events, longer sessions than the test tables have."""
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tarmac.operators import roadgraph as rg
-from tarmac.operators import timeseries as ts
-from tarmac.plans import graph
-from tarmac.plans.catalogue import QUERIES, SQL
-from tarmac.views import GRID_STEP, samples
-from tests.test_queries import SF, plain
+from tarmac.plans.catalogue import QUERIES
+from tests.test_queries import SF
 
 
 @pytest.fixture(scope="module")
@@ -34,23 +29,3 @@ def test_chords_of_long_tracks_are_their_own(spark, long_sessions):
 @pytest.mark.parametrize(("name", "key"), [("eskf_headings", ["session", "k"]), ("snap_heading", ["id"])])
 def test_every_event_has_its_row(spark, long_sessions, name, key):
     assert QUERIES[name](spark, long_sessions).select(*key).distinct().count() == 1000
-
-
-def same(df, sql):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF}/events.parquet')")
-    cursor = con.execute(sql)
-    order = [c[0] for c in cursor.description]
-    assert sorted(tuple(plain(r[c]) for c in order) for r in df.collect()) == sorted(tuple(map(plain, r)) for r in cursor.fetchall())
-
-
-def test_operators_of_filtered_queries_over_all_rows(spark):
-    """nearest_edges and sensor_grid keep the filters that their SQL has; without them both sides still agree."""
-    near = graph.rounded(rg.nearest_edges(graph.points(spark, SF), graph.crossroads(spark).segments, 60.0, 3, cell=0.001), 4, "distance")
-    sql = SQL["nearest_edges"].replace(" WHERE event_id % 5 = 0", "")
-    assert sql != SQL["nearest_edges"]
-    same(near.groupBy("id").agg(F.min("distance").alias("nearest"), F.max("distance").alias("furthest"), F.count("*").alias("n")), sql)
-    rows = samples(spark, SF)
-    sql = SQL["sensor_grid"].replace(" WHERE row_idx % 3 = 0", "")
-    assert sql != SQL["sensor_grid"]
-    same(ts.sensor_grid(rows, ts.uniform_grid(rows, "session", "t", GRID_STEP), "session", "t", "a1").select("session", "k", F.round("a1", 6).alias("a1")), sql)
