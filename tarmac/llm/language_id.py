@@ -28,7 +28,8 @@ from tarmac.llm.common import released
 #: Bounds of the sample a model is fitted on: rows and letters a language, and languages.
 TRAIN_ROWS, TRAIN_CHARS, MAX_LANGUAGES = 96, 16_000, 256
 SEGMENT = 1024
-DENSE = 253
+#: Letters with a column of their own in the table, and entries of the table, at most: with many languages fewer letters have one.
+DENSE, ENTRIES = 253, 1 << 25
 REST = 0  # the class of everything that isn't a letter
 
 
@@ -81,7 +82,12 @@ class CrossParser:
         # columns of the table; the transitions of the other letters are kept by state and class.
         times = Counter(c for t in texts.values() for c in t if c.isalpha())
         letters = sorted(times, key=lambda c: (-times[c], c))
-        common, rare = sorted(letters[:DENSE]), sorted(letters[DENSE:])
+        # A suffix automaton has under two states a letter; the table's entries must stay under 1 << SHIFT.
+        states = sum(2 * len(t) + 2 for t in texts.values())
+        dense = max(0, min(DENSE, ENTRIES // max(states, 1) - 3))
+        if states * (dense + 3) >= 1 << self.SHIFT:
+            raise ValueError(f"{states} states are too many: fit on fewer letters or languages")
+        common, rare = sorted(letters[:dense]), sorted(letters[dense:])
         self.classes = len(common) + 3
         self.total = self.classes + len(rare)
         self.other, self.stop = len(common) + 1, len(common) + 2
@@ -194,9 +200,17 @@ def fit(docs: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str
     if len(labels) > MAX_LANGUAGES:
         raise ValueError(f"{len(labels)} languages; the bound is {MAX_LANGUAGES}")
     ids = [r["id"] for r in picked]
-    texts = labelled.filter(F.col(id_col).isin(ids) & F.col(text_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.substring(F.col(text_col), 1, 4 * train_chars).alias("text"), F.col(id_col).alias("id"))
+    # Of a sampled text its share of the letters goes to the driver, from the middle of the whole text.
+    rows = Counter(r["label"] for r in picked)
+    share = F.lit(train_chars)
+    for label, n in rows.items():
+        share = F.when(F.col(label_col).cast("string") == label, F.lit(max(1, train_chars // n))).otherwise(share)
+    begin = F.greatest(F.lit(0), F.floor((F.length(text_col) - share) / 2)).cast("int") + 1
+    middle = F.substring(F.col(text_col), begin, share)
+    chosen = labelled.filter(F.col(id_col).isin(ids) & F.col(text_col).isNotNull())
+    texts = chosen.select(F.col(label_col).cast("string").alias("label"), middle.alias("text"), F.col(id_col).alias("id")).orderBy(place, "id").limit(2 * train_rows * max(1, len(labels)))
     samples: dict[str, list[str]] = {}
-    for row in texts.orderBy("id").collect():
+    for row in texts.collect():  # in the order of the hash; identifiers that many rows repeat cannot add rows without end
         samples.setdefault(row["label"], []).append(row["text"])
     return CrossParser(samples, train_chars)
 

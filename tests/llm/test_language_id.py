@@ -73,3 +73,29 @@ def test_cjk_texts_are_told_apart_and_signs_are_no_letters():
     pred, score = li._judged(li.CrossParser(samples), texts)
     assert pred[:6] == ["ja", "ko", "zh", "und", "und", "und"] and pred[6] != "und"
     assert score[3:6] == [0.0, 0.0, 0.0]
+
+
+def test_segments_ties_and_scores_match_plain_parsing():
+    """A text counts by its segments; equal counts go to the first language; the score is what the winner saves against the next."""
+    samples = {"ar": ["هذه جملة عربية عن القط والحصيرة"], "en": ["the cat sat on the mat"], "nl": ["the cat sat on the mat"], "ru": ["это русское предложение о кошке и коврике"]}
+    parser = li.CrossParser(samples, segment=16)
+    texts = ["the cat and the mat are on the mat of the cat", "русская кошка сидит на коврике и это русское предложение", "القط على الحصيرة هذه جملة عربية", "Ω", "the mat " * 40]
+    pred, score = li._judged(parser, texts)
+    for text, p, s in zip(texts, pred, score, strict=True):
+        squeezed = text.lower()
+        counts = {k: sum(plain_phrases(squeezed[a : a + 16], v[0]) for a in range(0, len(squeezed), 16)) for k, v in samples.items()}
+        best, second = sorted(counts.values())[:2]
+        assert p == min(counts, key=lambda k: (counts[k], k)) and abs(s - (1 - best / second)) < 1e-12
+    assert pred == ["en", "ru", "ar", "ar", "en"] and score[0] == score[3] == 0.0
+
+
+def test_many_languages_fit_the_table():
+    """Seventy languages of 160 letters each, most of which have no column of their own."""
+    samples = {f"l{k:02d}": ["".join(chr(0x4E00 + 160 * k + (j * j + 7 * j * k) % 160) for j in range(2000))] for k in range(70)}
+    parser = li.CrossParser(samples, train_chars=2000)
+    assert parser.table.size <= li.ENTRIES and parser.classes < li.DENSE
+    texts = [samples[f"l{k:02d}"][0][300:420] for k in (0, 33, 69)]
+    pred, _ = li._judged(parser, texts)
+    assert pred == ["l00", "l33", "l69"]
+    counts, _ = parser.phrases(texts)
+    assert counts[:, [0, 33, 69]].tolist() == [[plain_phrases(t, samples[f"l{k:02d}"][0]) for k in (0, 33, 69)] for t in texts]
