@@ -49,35 +49,41 @@ def running_sum(df: DataFrame, session: str, t: str, order: list[str], value: Co
     return rows.withColumn(name, F.col("__base") + F.col("__in")).drop("__slice", "__v", "__in", "__base")
 
 
-def asof(points: DataFrame, grid: DataFrame, session: str, t: str, value: str, width: float = WIDTH) -> DataFrame:
-    """For every row of ``grid`` the samples at or before and at or after it: __t0, __v0, __t1, __v1, null where there is none.
+def asof_all(points: DataFrame, grid: DataFrame, session: str, t: str, values: list[str], width: float = WIDTH) -> DataFrame:
+    """For every row of ``grid`` and every value the sample at or before and at or after it: structs (t, v) <value>_a and <value>_b, null where there is none.
 
-    ``points`` has session, t, value, one row a time; ``grid`` has session, t and
-    any other columns. Both sides are read once and meet in one sort.
+    ``points`` has session, t and the values, one row a time; ``grid`` has session,
+    t and any other columns. All values share one sort, in which both sides meet.
     """
     rest = [c for c in grid.columns if c not in (session, t)]
-    own = points.filter(F.col(value).isNotNull() & F.col(t).isNotNull())
-    left = own.select(session, t, F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v")).alias("__p"), F.lit(None).cast(grid.select(F.struct(*(rest or [t]))).schema[0].dataType).alias("__g"), F.lit(False).alias("__is_grid"))
-    right = grid.select(session, t, F.lit(None).cast("struct<t: double, v: double>").alias("__p"), F.struct(*(rest or [t])).alias("__g"), F.lit(True).alias("__is_grid"))
+    kind, none = grid.select(F.struct(*(rest or [t]))).schema[0].dataType, F.lit(None).cast("struct<t: double, v: double>")
+    known = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(t).cast("double").alias("t"), F.col(c).cast("double").alias("v")))
+    names = [f"__p{i}" for i in range(len(values))]
+    left = points.filter(F.col(t).isNotNull()).select(session, t, *(known(c).alias(n) for c, n in zip(values, names, strict=True)), F.lit(None).cast(kind).alias("__g"), F.lit(False).alias("__is_grid"))
+    right = grid.select(session, t, *(none.alias(n) for n in names), F.struct(*(rest or [t])).alias("__g"), F.lit(True).alias("__is_grid"))
     both = sliced(left.unionByName(right), t, width)
-    ends = both.groupBy(session, "__slice").agg(F.min("__p").alias("__first"), F.max("__p").alias("__last"))
-    ends = ends.select(
-        session,
-        "__slice",
-        F.last("__last", ignorenulls=True).over(_slices(session).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        F.last("__first", ignorenulls=True).over(_slices(session, back=True).rowsBetween(Window.unboundedPreceding, -1)).alias("__after"),
-    )
+    ends = both.groupBy(session, "__slice").agg(*(f(n).alias(f"{n}_{k}") for n in names for k, f in (("first", F.min), ("last", F.max))))
+    earlier, later = (_slices(session, back).rowsBetween(Window.unboundedPreceding, -1) for back in (False, True))
+    ends = ends.select(session, "__slice", *(F.last(f"{n}_last", ignorenulls=True).over(earlier).alias(f"{n}_before") for n in names), *(F.last(f"{n}_first", ignorenulls=True).over(later).alias(f"{n}_after") for n in names))
     # At equal times samples come before grid points looking back, and after them looking forward.
     back = _window(session, [F.col(t), F.col("__is_grid")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = _window(session, [F.col(t).desc(), F.col("__is_grid")]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = both.withColumn("__a", F.last("__p", ignorenulls=True).over(back)).withColumn("__b", F.last("__p", ignorenulls=True).over(ahead))
+    rows = both.select("*", *(F.last(n, ignorenulls=True).over(back).alias(f"{n}_a") for n in names)).select("*", *(F.last(n, ignorenulls=True).over(ahead).alias(f"{n}_b") for n in names))
     rows = rows.filter("__is_grid").join(ends, [session, "__slice"])
-    a, b = F.coalesce("__a", "__before"), F.coalesce("__b", "__after")
-    return rows.select(session, t, *(F.col(f"__g.{c}").alias(c) for c in rest), a["t"].alias("__t0"), a["v"].alias("__v0"), b["t"].alias("__t1"), b["v"].alias("__v1"))
+    found = [F.coalesce(f"{n}_{x}", f"{n}_{y}").alias(f"{c}_{x}") for c, n in zip(values, names, strict=True) for x, y in (("a", "before"), ("b", "after"))]
+    return rows.select(session, t, *(F.col(f"__g.{c}").alias(c) for c in rest), *found)
+
+
+def asof(points: DataFrame, grid: DataFrame, session: str, t: str, value: str, width: float = WIDTH) -> DataFrame:
+    """asof_all of one value, as columns __t0, __v0, __t1, __v1."""
+    rest = [c for c in grid.columns if c not in (session, t)]
+    found = asof_all(points, grid, session, t, [value], width)
+    a, b = F.col(f"{value}_a"), F.col(f"{value}_b")
+    return found.select(session, t, *rest, a["t"].alias("__t0"), a["v"].alias("__v0"), b["t"].alias("__t1"), b["v"].alias("__v1"))
 
 
-def lerp(t: str, clamp: bool = True) -> Column:
-    """The value at ``t`` between as-of neighbours; outside them the end value, or null if not ``clamp``."""
-    inside = F.when(F.col("__t1") == F.col("__t0"), F.col("__v0")).otherwise(F.col("__v0") + (F.col("__v1") - F.col("__v0")) * (F.col(t) - F.col("__t0")) / (F.col("__t1") - F.col("__t0")))
-    both = F.col("__v0").isNotNull() & F.col("__v1").isNotNull()
-    return F.when(both, inside).otherwise(F.coalesce("__v0", "__v1")) if clamp else F.when(both, inside)
+def between(t: str, a: Column, b: Column, clamp: bool = True) -> Column:
+    """The value at ``t`` between as-of neighbours (structs t, v); outside them the end value, or null if not ``clamp``."""
+    inside = F.when(b["t"] == a["t"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col(t) - a["t"]) / (b["t"] - a["t"]))
+    both = a.isNotNull() & b.isNotNull()
+    return F.when(both, inside).otherwise(F.coalesce(a["v"], b["v"])) if clamp else F.when(both, inside)

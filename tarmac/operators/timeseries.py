@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tarmac.functions import geo
 from tarmac.functions.angles import wrap, wrap_step
-from tarmac.operators.sliced import WIDTH, asof, lerp, running_sum, with_previous
+from tarmac.operators.sliced import WIDTH, asof, asof_all, between, running_sum, with_previous
 
 
 def change_points(df: DataFrame, session: str, t: str, order: list[str], columns: list[str], width: float = WIDTH) -> DataFrame:
@@ -70,10 +70,17 @@ def mean_by_time(df: DataFrame, session: str, t: str, value: str) -> DataFrame:
     return df.filter(F.col(t).isNotNull() & F.col(value).isNotNull()).groupBy(session, t).agg(F.avg(value).alias(value))
 
 
-def interpolate(points: DataFrame, grid: DataFrame, session: str, t: str, value: str, clamp: bool = True, width: float = WIDTH) -> DataFrame:
-    """``grid`` with ``value`` interpolated linearly; outside the samples the end value, or null if not ``clamp``."""
+def interpolate_all(points: DataFrame, grid: DataFrame, session: str, t: str, values: list[str], clamp: bool = True, width: float = WIDTH) -> DataFrame:
+    """``grid`` with each value interpolated linearly, all in one pass; outside a value's samples its end value, or null if not ``clamp``."""
     rest = [c for c in grid.columns if c not in (session, t)]
-    return asof(mean_by_time(points, session, t, value), grid, session, t, value, width).select(session, t, *rest, lerp(t, clamp).alias(value))
+    own = points.filter(F.col(t).isNotNull()).groupBy(session, t).agg(*(F.avg(c).alias(c) for c in values))  # duplicate times have their mean
+    found = asof_all(own, grid, session, t, values, width)
+    return found.select(session, t, *rest, *(between(t, F.col(f"{c}_a"), F.col(f"{c}_b"), clamp).alias(c) for c in values))
+
+
+def interpolate(points: DataFrame, grid: DataFrame, session: str, t: str, value: str, clamp: bool = True, width: float = WIDTH) -> DataFrame:
+    """interpolate_all of one value."""
+    return interpolate_all(points, grid, session, t, [value], clamp, width)
 
 
 def sensor_grid(df: DataFrame, grid: DataFrame, session: str, t: str, value: str, least: int = 10) -> DataFrame:
@@ -234,7 +241,7 @@ def gap_mask(points: DataFrame, grid: DataFrame, session: str, t: str, value: st
     near = asof(mean_by_time(points, session, t, value), grid, session, t, value)
     closest = F.least(F.col(t) - F.col("__t0"), F.col("__t1") - F.col(t))
     rest = [c for c in grid.columns if c not in (session, t)]
-    return near.select(session, t, *rest, F.when(closest <= gap, lerp(t)).alias(value))
+    return near.select(session, t, *rest, F.when(closest <= gap, between(t, F.struct(F.col("__t0").alias("t"), F.col("__v0").alias("v")), F.struct(F.col("__t1").alias("t"), F.col("__v1").alias("v")))).alias(value))
 
 
 def rows_zipped(a: DataFrame, b: DataFrame, session: str, row: str) -> DataFrame:

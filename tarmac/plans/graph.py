@@ -221,7 +221,7 @@ def nearest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Directions of the crossroads: both ways of an edge, its length and its bearings on arrival and departure (geodesic to first order in the mid-latitude).
 DIRECTED_SQL = """az AS (SELECT *, atan2((lon2 - lon1) * cos(radians((lat1 + lat2) / 2)), lat2 - lat1) - radians(lon2 - lon1) / 2 * sin(radians((lat1 + lat2) / 2)) AS b, coalesce(sum(metres) OVER (PARTITION BY edge ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cum FROM sg),
     ends AS (SELECT edge, sum(metres) AS len, min_by(b, i) AS fb, max_by(b, i) AS lb, min_by(from_node, i) AS a, max_by(to_node, i) AS z FROM az GROUP BY edge),
-    dir AS (SELECT edge * 2 AS d, edge, 0 AS r, a AS f, z AS t, len, lb AS entry, fb AS leave FROM ends UNION ALL SELECT edge * 2 + 1, edge, 1, z, a, len, fb + pi(), lb + pi() FROM ends JOIN e USING (edge) WHERE NOT oneway)"""
+    dir AS MATERIALIZED (SELECT edge * 2 AS d, edge, 0 AS r, a AS f, z AS t, len, lb AS entry, fb AS leave FROM ends UNION ALL SELECT edge * 2 + 1, edge, 1, z, a, len, fb + pi(), lb + pi() FROM ends JOIN e USING (edge) WHERE NOT oneway)"""
 
 
 @query(f"""WITH {SAMPLES_SQL}, {CROSS_SQL}, {DIRECTED_SQL}, pt AS (SELECT event_id AS id, 51.4995::DOUBLE + (event_id % 11) * 1e-4::DOUBLE AS lat, -2.5005::DOUBLE + (event_id % 13) * 1e-4::DOUBLE AS lon, radians(heading_deg) AS heading FROM samples),
@@ -264,11 +264,11 @@ GREEDY_SQL = f"""{SAMPLES_SQL}, {CROSS_SQL}, {DIRECTED_SQL}, turn AS (SELECT ses
     nx AS (SELECT p.d, q.d AS nd, p.edge = q.edge AS back, q.leave - p.entry AS raw FROM dir p JOIN dir q ON p.t = q.f), na AS (SELECT *, count(*) FILTER (NOT back) OVER (PARTITION BY d) AS ahead, atan2(sin(raw), cos(raw)) AS angle FROM nx),
     opt AS (SELECT session, k, d, nd, abs(angle) AS straight, abs(atan2(sin(angle - turn), cos(angle - turn))) AS miss, ahead FROM na, turn WHERE NOT back OR ahead = 0),
     ord AS (SELECT *, min(miss) OVER (PARTITION BY session, k, d) AS least FROM opt),
-    ch AS (SELECT session, k, d, nd FROM (SELECT *, row_number() OVER (PARTITION BY session, k, d ORDER BY CASE WHEN ahead < 2 THEN nd WHEN least <= radians(75) THEN miss ELSE straight END, nd) AS first FROM ord) WHERE first = 1),
+    ch AS (SELECT session, k, d, nd FROM (SELECT *, row_number() OVER (PARTITION BY session, k, d ORDER BY CASE WHEN ahead < 2 THEN nd WHEN least <= radians(75) THEN miss ELSE straight END, nd) AS first FROM ord) WHERE first = 1), nexts AS (SELECT session, k, MAP(list(d), list(nd)) AS nexts FROM ch GROUP BY session, k), tc AS MATERIALIZED (SELECT turn.session, turn.k, metres, nexts FROM turn JOIN nexts USING (session, k)),
     go AS (SELECT session, 0::BIGINT AS k, [0, 3, 20000, 20003][(session % 4 + 1)::INT]::BIGINT AS d, 5::DOUBLE AS o, 0::DOUBLE AS rest, true AS done FROM samples GROUP BY session
         UNION ALL SELECT session, k, CASE WHEN nd IS NULL OR done OR rest < room OR rest <= 0 THEN d ELSE nd END, CASE WHEN done THEN o WHEN rest < room THEN o + greatest(rest, 0) WHEN rest <= 0 THEN o WHEN nd IS NULL THEN len ELSE 0 END,
             CASE WHEN done THEN metres WHEN rest < room OR rest <= 0 THEN 0 ELSE rest - greatest(room, 0) END, NOT done AND (rest < room OR rest <= 0 OR nd IS NULL)
-        FROM (SELECT go.session, go.k + go.done::INT AS k, go.d, go.o, go.rest, go.done, dir.len, dir.len - go.o AS room, turn.metres, ch.nd FROM go JOIN dir ON dir.d = go.d JOIN turn ON turn.session = go.session AND turn.k = go.k + go.done::INT LEFT JOIN ch ON ch.session = go.session AND ch.k = go.k + go.done::INT AND ch.d = go.d))"""
+        FROM (SELECT go.session, go.k + go.done::INT AS k, go.d, go.o, go.rest, go.done, dir.len, dir.len - go.o AS room, tc.metres, element_at(tc.nexts, go.d)[1] AS nd FROM go JOIN dir ON dir.d = go.d JOIN tc ON tc.session = go.session AND tc.k = go.k + go.done::INT))"""
 
 
 @query(f"""WITH RECURSIVE {GREEDY_SQL} SELECT session AS outage, k, d, round(o, 4) AS "offset" FROM go WHERE done""")

@@ -103,7 +103,7 @@ REPLAY = f"""{OUTAGES}, marks AS (SELECT session, t0, k, t0 + k * 3600.0::DOUBLE
     round(max_by(pe, k), 2) AS final_position_error_m, round(max(pe), 2) AS max_position_error_m, round(sum(ts), 2) AS true_distance_m FROM err GROUP BY session, t0""")
 def constant_velocity_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, found = outages(spark, sf_dir)
-    steps = rp.score(rp.constant_velocity(rows, found, WIDTH), rp.truth(rows, found, WIDTH), rp.local_flat)
+    steps = rp.scored(rp.held_velocity(rp.observed(rows, found, WIDTH)), rp.local_flat)
     out = rounded(rp.totals(steps), 2, "cae", "aeps", "crse_scalar", "crse", "final_position_error_m", "max_position_error_m", "true_distance_m")
     return rounded(out, 3, "t0")
 
@@ -113,11 +113,20 @@ def constant_velocity_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT tr.session, round(tr.t0, 3) AS t0, round(max_by(sqrt(power(pn - n, 2) + power(pe - e, 2)), tr.k), 1) AS crse FROM tr JOIN tru ON tru.session = tr.session AND tru.t0 = tr.t0 AND tru.k = tr.k GROUP BY tr.session, tr.t0""")
 def oracle_heading_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, found = outages(spark, sf_dir)
-    predicted = rp.with_true_heading(rp.constant_velocity(rows, found, WIDTH), rows, found, WIDTH)
-    steps = rp.score(predicted, rp.truth(rows, found, WIDTH), rp.local_flat)
+    steps = rp.scored(rp.held_velocity(rp.observed(rows, found, WIDTH), true_heading=True), rp.local_flat)
     return rounded(rounded(rp.totals(steps).select("session", "t0", "crse"), 1, "crse"), 3, "t0")
 
 
+@query(f"""{S}, {REPLAY}, sc AS (SELECT session, t0, pi() / 180 * 6378137 * (1 - q) / power(1 - q * power(sin(radians(lat)), 2), 1.5) AS north, pi() / 180 * 6378137 * cos(radians(lat)) / sqrt(1 - q * power(sin(radians(lat)), 2)) AS east FROM (SELECT *, 0.0066943799901413165::DOUBLE AS q FROM pos) WHERE k = 0),
+    rl AS (SELECT p.session, p.t0, p.k, (p.lat - s.lat) * north AS n, (p.lon - s.lon) * east AS e FROM pos p JOIN pos s ON s.session = p.session AND s.t0 = p.t0 AND s.k = 0 JOIN sc ON sc.session = p.session AND sc.t0 = p.t0)
+    SELECT rl.session, round(rl.t0, 3) AS t0, round(max_by(sqrt(power(rl.k * v0.v * 3600 * cos(radians(h0.v)) - n, 2) + power(rl.k * v0.v * 3600 * sin(radians(h0.v)) - e, 2)), rl.k), 0) + 0.0::DOUBLE AS crse FROM rl JOIN v0 ON v0.session = rl.session AND v0.t0 = rl.t0 JOIN h0 ON h0.session = rl.session AND h0.t0 = rl.t0 WHERE rl.k > 0 GROUP BY rl.session, rl.t0""")
+def ellipsoid_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictor and truth as relations, joined, in metres of the ellipsoid."""
+    rows, _, found = outages(spark, sf_dir)
+    steps = rp.score(rp.constant_velocity(rows, found, WIDTH), rp.truth(rows, found, WIDTH))
+    return rounded(rounded(rp.totals(steps).select("session", "t0", "crse"), 0, "crse"), 3, "t0")
+
+
 @query(f"""{S}, {OUTAGES}, starts AS (SELECT session, t0 AS t, t0 FROM o), {at_sql('v0', 'speed_ms', 'starts', 't0')}
     SELECT CASE WHEN v < 5 THEN 'slow' ELSE 'eligible' END AS reason, count(*) AS n, round(avg(v), 6) AS start_speed FROM v0 GROUP BY ALL""")
 def outage_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
