@@ -1,6 +1,7 @@
 """Chat formatting: tool calls linked to results, ordered, validated and serialised as canonical JSON.
 
-Calls and results meet in a hash join on the call's identifier. A call may name
+Calls and results meet in a shuffled hash join on the call's identifier, which is
+unique on both sides by then. A call may name
 the call whose result it uses; its depth in that forest is its place in a
 topological order and is found by pointer doubling, in rounds that grow with the
 logarithm of the longest chain. Calls on a cycle, or that hang from one, have no
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.common import Scratch
 
-#: tool -> argument -> (type, required, least, most); bounds are of length for strings and of value for numbers.
+#: tool -> argument -> (type, required, least, most); bounds are of length for strings, of value for numbers, and of the
+#: number of elements for arrays; objects have none. Types: string, integer, number, boolean, array, object.
 SCHEMAS = {
     "answer": {"text": ("string", True, 1, 4000), "turn": ("integer", True, 0, 1_000_000)},
     "configure": {"text": ("string", True, 1, 2000), "turn": ("integer", True, 0, 0)},
@@ -34,9 +36,19 @@ def _is(kind: str, value: Column) -> Column:
         return value.try_cast("double").isNotNull()
     if kind == "boolean":
         return value.isin("true", "false")
+    if kind in ("array", "object"):
+        return F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith(kind.upper()), F.lit(False))
     return F.lit(True)
 
 
+def _size(kind: str, value: Column) -> Column:
+    if kind == "string":
+        return F.length(value)
+    if kind == "array":
+        return F.json_array_length(value)
+    return value.try_cast("double") if kind in ("integer", "number") else F.lit(None)
+
+
 def problems(name: Column, arguments: Column, schemas: dict) -> Column:
     """What is wrong with a call's arguments, in order of tool and argument name."""
     out = F.when(~F.coalesce(name.isin(*sorted(schemas)), F.lit(False)), F.array(F.lit("unknown tool")))
@@ -44,7 +56,7 @@ def problems(name: Column, arguments: Column, schemas: dict) -> Column:
         checks = []
         for arg, (kind, required, least, most) in sorted(wanted.items()):
             value = F.element_at(arguments, F.lit(arg))
-            size = F.length(value) if kind == "string" else value.try_cast("double") if kind in ("integer", "number") else F.lit(None)
+            size = _size(kind, value)
             missing = F.lit(f"missing:{arg}") if required else F.lit(None)
             bad = F.when(~_is(kind, value), F.lit(f"type:{arg}")).when(F.coalesce((size < least) | (size > most), F.lit(False)), F.lit(f"range:{arg}"))
             checks.append(F.when(value.isNull(), missing).otherwise(bad))
@@ -54,7 +66,10 @@ def problems(name: Column, arguments: Column, schemas: dict) -> Column:
 
 
 def canonical(name: Column, arguments: Column, schemas: dict) -> Column:
-    """Arguments as JSON: keys in code point order, no blanks, numbers where the schema has numbers and the value is one."""
+    """Arguments as JSON: keys in code point order, no blanks, values of the schema's type where they are of it, strings otherwise.
+
+    Arrays and objects are serialised anew, so that keys at every depth are in order.
+    """
 
     def shown(key: Column) -> Column:
         value = F.element_at(arguments, key)
@@ -62,7 +77,10 @@ def canonical(name: Column, arguments: Column, schemas: dict) -> Column:
         for tool, wanted in sorted(schemas.items()):
             for arg, (kind, *_) in sorted(wanted.items()):
                 if kind != "string":
-                    plain = value.cast("string") if kind != "integer" else value.try_cast("long").cast("string")
+                    if kind in ("array", "object"):
+                        plain = F.to_json(F.try_parse_json(value))
+                    else:
+                        plain = value.cast("string") if kind != "integer" else value.try_cast("long").cast("string")
                     out = F.when((name == tool) & (key == arg) & value.isNotNull() & _is(kind, value), plain).otherwise(out)
         return F.concat(quoted(key), F.lit(":"), out)
 
@@ -72,14 +90,14 @@ def canonical(name: Column, arguments: Column, schemas: dict) -> Column:
 
 def depths(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """call_id, depth of calls (call_id, parent_id) with unique identifiers; a parent that isn't there counts as none."""
-    ids = calls.select(F.col("call_id").alias("up"))
+    ids = calls.select(F.col("call_id").alias("up")).hint("shuffle_hash")
     state = calls.join(ids, F.col("parent_id") == F.col("up"), "left").select("call_id", "up", F.col("up").isNotNull().cast("long").alias("depth"))
     state = scratch.write("depth-0", state)
     n, rounds = state.count(), 0
     while state.filter("up is not null").limit(1).count() and (1 << rounds) <= n:
         rounds += 1
         above = state.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        moved = state.join(above, "up", "left").select("call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        moved = state.join(above.hint("shuffle_hash"), "up", "left").select("call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         state = scratch.write(f"depth-{rounds}", moved)
         scratch.drop(f"depth-{rounds - 1}")
     return state.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
@@ -93,7 +111,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict | None = None) -> D
     identifier the first by turn, then by content, stands for all and they are
     counted. Results without a call have n_calls 0 and are not valid; calls without
     a result are not linked. Rows without an identifier are left out: nothing can
-    refer to them. Extra columns are not read; empty tables give no rows.
+    refer to them. Texts of any length are serialised whole. Extra columns are not
+    read, whatever their names; empty tables give no rows.
     """
     schemas = SCHEMAS if schemas is None else schemas
     scratch = Scratch(calls.sparkSession, "tool-calls")
@@ -101,7 +120,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict | None = None) -> D
     first = scratch.write("calls", shaped.groupBy("call_id").agg(F.min("c").alias("c"), F.count("*").alias("n_calls")))
     answers = results.filter("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "text")).alias("r"), F.count("*").alias("n_results"))
     order = depths(first.select("call_id", "c.parent_id"), scratch)
-    both = first.join(order, "call_id").join(answers, "call_id", "full_outer")
+    both = first.join(order.hint("shuffle_hash"), "call_id").join(answers.hint("shuffle_hash"), "call_id", "full_outer")
     both = both.select("call_id", "c.conv_id", "c.turn", "c.name", "c.parent_id", "depth", F.map_from_entries("c.entries").alias("arguments"), F.col("r.turn").alias("result_turn"), F.col("r.text").alias("result"), "n_calls", "n_results")
     counted = both.withColumns({"n_calls": F.coalesce("n_calls", F.lit(0)).cast("long"), "n_results": F.coalesce("n_results", F.lit(0)).cast("long")})
     wrong = F.when(F.col("n_calls") == 0, F.array(F.lit("no call"))).otherwise(problems(F.col("name"), F.col("arguments"), schemas))
@@ -131,7 +150,7 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         key(0).alias("call_id"), "conv_id", F.col("turn").cast("long").alias("turn"), F.when(F.col("role") == "system", "configure").otherwise("answer").alias("name"),
         key(2).alias("two"), key(1).alias("one"), F.create_map(F.lit("text"), F.col("text"), F.lit("turn"), F.col("turn").cast("string")).alias("arguments"),
     )
-    calls = calls.join(ids.select(F.col("call_id").alias("two"), F.lit(True).alias("has_two")), "two", "left").join(ids.select(F.col("call_id").alias("one"), F.lit(True).alias("has_one")), "one", "left")
+    calls = calls.join(ids.select(F.col("call_id").alias("two"), F.lit(True).alias("has_two")).hint("shuffle_hash"), "two", "left").join(ids.select(F.col("call_id").alias("one"), F.lit(True).alias("has_one")).hint("shuffle_hash"), "one", "left")
     calls = calls.withColumn("parent_id", F.when(F.col("has_two"), F.col("two")).when(F.col("has_one"), F.col("one")))
     results = turns.filter(F.col("role") == "assistant").select(key(1).alias("call_id"), F.col("turn").cast("long").alias("turn"), "text")
     return calls.select("call_id", "conv_id", "turn", "name", "parent_id", "arguments"), results

@@ -50,3 +50,22 @@ def test_messages(spark):
     rows = [(1, 0, "assistant", '{"tool_calls":[{"id":"k","name":"answer","arguments":{"text":"t","turn":"0"}}]}'), (1, 1, "tool", '{"tool_call_id":"k","content":"done"}'), (1, 2, "assistant", "plain"), (1, 3, "tool", None)]
     out = tc.link(*tc.from_messages(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).collect()
     assert [(r.call_id, r.linked, r.valid, json.loads(r.json)["result"]) for r in out] == [("k", True, True, "done")]
+
+
+def test_nested_arguments_are_canonical(spark):
+    schemas = {"search": {"filter": ("object", True, None, None), "tags": ("array", False, 1, 3), "deep": ("boolean", False, None, None)}}
+    text = '{"tool_calls":[{"id":"%s","name":"search","arguments":{"tags":%s,"filter":%s,"deep":true}}]}'
+    rows = [(1, 0, "assistant", text % ("a", '["x", {"q": 2, "b": 1}]', '{"z": {"k": [1, 2.5], "a": null}, "b": "é \\"q\\""}'))]
+    rows += [(1, 1, "assistant", text % ("b", "[]", "[1]")), (1, 2, "assistant", text % ("c", '"[x"', "{}"))]
+    out = {r.call_id: r for r in tc.link(*tc.from_messages(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")), schemas).collect()}
+    want = {"tags": ["x", {"q": 2, "b": 1}], "filter": {"z": {"k": [1, 2.5], "a": None}, "b": 'é "q"'}, "deep": True}
+    shown = json.dumps(want, separators=(",", ":"), sort_keys=True, ensure_ascii=False)
+    assert out["a"].valid and out["a"].json.startswith('{"arguments":' + shown)
+    assert {k: out[k].problems for k in "bc"} == {"b": "type:filter,range:tags", "c": "type:tags"}
+
+
+def test_long_texts_and_clashing_columns(spark):
+    calls = spark.createDataFrame([("a", 1, 0, "answer", None, {"text": "x" * 500_000, "turn": "0"}, "mine", 3, "r")], CALL + ", up string, depth int, n_results string")
+    results = spark.createDataFrame([("a", 1, "y" * 500_000, "mine")], RESULT + ", problems string")
+    (r,) = tc.link(calls, results).collect()
+    assert r.depth == 0 and r.problems == "range:text" and json.loads(r.json)["result"] == "y" * 500_000
