@@ -179,7 +179,7 @@ SQL = {
             SELECT * FROM i WHERE action = 'add' AND (valid_to IS NULL OR valid_to > listed_on)
         ), c AS (
             SELECT page_id, url, strftime(DATE '2024-01-01' + ((page_id * 37) % 366)::INT, '%Y-%m-%d') AS fetched_on, count(*) AS copies,
-                lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+                rtrim(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)', 1)), '.') AS host,
                 lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)', 1)) AS path
             FROM pages GROUP BY ALL
         ), m AS (

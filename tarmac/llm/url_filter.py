@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarmac.llm.common import Scratch, lookup
+
 #: Rows of a list that are broadcast (about 20 MB); a longer list is joined by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -58,14 +60,32 @@ def evaluate(captures: DataFrame, entries: DataFrame, allow: str = "allow") -> D
     """
     active = intervals(entries)
     sizes = active.agg(F.count("*").alias("n"), F.max(F.size(F.split("pattern", "/")) - 1).alias("segments")).first()
-    listed = F.broadcast(active) if sizes["n"] <= BROADCAST_ROWS else active
     url = F.coalesce(F.col("url"), F.lit(""))
-    rows = captures.groupBy("page_id", "url", "fetched_on").agg(F.count("*").alias("copies"))
-    rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", F.regexp_extract(url, PATH, 1)).withColumn("key", F.explode(_keys(sizes["segments"] or 0)))
-    rows = rows.select("page_id", "url", "fetched_on", "host", "copies", F.col("key.kind").alias("k"), F.col("key.pattern").alias("p"))
+    capture = ["page_id", "url", "fetched_on"]
+    rows = captures.groupBy(*capture).agg(F.count("*").alias("copies"))
+    rows = rows.withColumn("host", host_of(F.col("url"))).withColumn("path", F.regexp_extract(url, PATH, 1))
+    keyed = rows.withColumn("key", F.explode(_keys(sizes["segments"] or 0))).select(*capture, "host", "copies", "key")
     during = (F.col("valid_from") <= F.col("fetched_on")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to")))
-    met = rows.join(listed, (F.col("k") == F.col("kind")) & (F.col("p") == F.col("pattern")) & during, "left")
+    own = active.withColumn("key", F.struct("kind", "pattern"))
     deciding = F.max(F.when(F.col("entry_id").isNotNull(), F.struct(F.length("pattern").alias("size"), "valid_from", "entry_id", "category"))).alias("best")
-    out = met.groupBy("page_id", "url", "fetched_on", "host", "copies").agg(F.count("entry_id").alias("n_active"), deciding)
+    if sizes["n"] <= BROADCAST_ROWS:
+        met = keyed.join(F.broadcast(own.drop("kind")).withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & during, "left")
+        out = met.groupBy(*capture, "host", "copies").agg(F.count("entry_id").alias("n_active"), deciding)
+    else:
+        out = _shuffled(rows.select(*capture, "host", "copies"), keyed.select(*capture, "key"), own, during, deciding, capture)
     blocked = F.coalesce(F.col("best.category") != allow, F.lit(False))
     return out.select("page_id", "url", "fetched_on", "host", "copies", "n_active", F.col("best.entry_id").alias("entry_id"), F.col("best.category").alias("category"), blocked.alias("blocked"))
+
+
+def _shuffled(rows: DataFrame, keyed: DataFrame, active: DataFrame, during: Column, deciding: Column, capture: list[str]) -> DataFrame:
+    """The join with a list too long to broadcast. Keys that no entry has never move with their captures, and those that very many captures have are broadcast."""
+    scratch = Scratch(rows.sparkSession, "url-filter")
+    keyed = scratch.write("keys", keyed)
+    fields = ["entry_id", "pattern", "category", "valid_from", "valid_to"]
+    listed = active.groupBy("key").agg(F.collect_list(F.struct(*fields)).alias("entries"))
+    weights = keyed.groupBy("key").agg(F.count("*").alias("weight"))  # partial sums first: a hot key has a row a task
+    listed = scratch.write("listed", listed.join(weights, "key"))
+    met = lookup(keyed, listed, "key", "weight", keyed.count(), "inner").withColumn("e", F.explode("entries")).select(*capture, *(F.col(f"e.{c}").alias(c) for c in fields)).filter(during)
+    best = met.groupBy(*(F.col(c).alias(f"b_{c}") for c in capture)).agg(F.count("entry_id").alias("n_active"), deciding)
+    same = [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in capture]
+    return rows.join(best, same[0] & same[1] & same[2], "left").withColumn("n_active", F.coalesce("n_active", F.lit(0)))
