@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from tarmac.llm.common import released
 
-BLOCK_CHARS = 16_000_000
+#: Characters of a block of documents, and of the texts whose distinct words a bucket holds a share of.
+BLOCK_CHARS, BUCKET_CHARS = 16_000_000, 16_000_000
 
 #: White space as Unicode has it; the interpreter's own \\s holds more.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -64,7 +65,7 @@ def _splitters(pattern: str):
 def _pack(values: np.ndarray) -> bytes:
     """Unsigned integers as three compressed byte planes."""
     planes = [(values >> (8 * k) & 255).astype(np.uint8).tobytes() for k in range(4)]
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    squeeze = zstandard.ZstdCompressor(level=3).compress
     parts = [squeeze(p) for p in planes]
     return np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
 
@@ -109,7 +110,7 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int) -> Da
             yield _batch([(-1 - block, block, 0, 0, _pack(rank[flat]), zlib.compress(head, 1), _pack(np.array(counts, np.uint32)), _pack(bucket))])
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            squeeze = zstandard.ZstdCompressor(level=1).compress
+            squeeze = zstandard.ZstdCompressor(level=3).compress
             rows = []
             for k in range(buckets):
                 if cuts[k] < cuts[k + 1]:
@@ -172,9 +173,9 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
     text as empty, repeated and null identifiers as they are; other columns are
     not read. No special tokens.
     """
-    spark = docs.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(8, -(-chars // BUCKET_CHARS))  # so a bucket's words, which its task holds, don't grow with the corpus
     asked = _blocks(docs, pattern, buckets, block_chars)
     answered = _encode_words(asked.repartition(buckets, "dest"), ranks, pattern)
 
@@ -231,7 +232,7 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             yield from map(shaped, done())
 
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decode_too
-    return answered.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(released(run), schema)
+    return answered.repartition(max(8, 2 * (-(-chars // BLOCK_CHARS))), "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(released(run), schema)
 
 
 def decode(encoded: DataFrame, ranks: bytes, ids_col: str = "ids") -> DataFrame:
