@@ -126,16 +126,17 @@ def take(docs: DataFrame, budget: float = 1.5, max_epochs: int = 2, seed: int =
 
     The one document a source takes in part is taken whole if at least half of it
     is. Rows alike in identifier, source and size share their repetitions evenly,
-    the first by text first. Documents without words are never taken.
+    the first by text first. Documents without words are never taken. The columns
+    of ``docs`` may have any names.
     """
     part = F.when(F.col("size") == 0, 0).when(F.col("part") * 2 >= F.col("size"), 1).otherwise(0)
     taken = mix(docs, budget=budget, max_epochs=max_epochs, seed=seed).select("doc_id", "source", "size", (F.when(F.col("size") > 0, F.col("whole")).otherwise(0) + part).alias("times"))
-    taken = taken.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__words")).agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
-    sized = docs.withColumn("__size", word_count(F.col("text")))
-    same = sized["doc_id"].cast("long").eqNullSafe(taken["__id"]) & sized["source"].eqNullSafe(taken["__source"]) & (sized["__size"] == taken["__words"])
-    rows = sized.join(taken.filter("__times > 0"), same)
-    number = F.row_number().over(Window.partitionBy("__id", "__source", "__words").orderBy("text"))
-    alone = rows.filter("__rows = 1").withColumn("__own", F.col("__times"))
-    several = rows.filter("__rows > 1").withColumn("__own", F.floor(F.col("__times") / F.col("__rows")) + (number <= F.col("__times") % F.col("__rows")).cast("long"))
-    out = alone.unionByName(several).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__own"))))
-    return out.filter("__copy > 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    taken = taken.groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size")).agg(F.sum("times").alias("times"), F.count("*").alias("alike"))
+    sized = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("own"), F.col("text").alias("body"), word_count(F.col("text")).alias("words"))
+    same = F.col("id").eqNullSafe(F.col("t_id")) & F.col("own").eqNullSafe(F.col("t_source")) & (F.col("words") == F.col("t_size"))
+    rows = sized.join(taken.filter("times > 0"), same)
+    number = F.row_number().over(Window.partitionBy("t_id", "t_source", "t_size").orderBy("body"))
+    alone = rows.filter("alike = 1").withColumn("copies", F.col("times"))
+    several = rows.filter("alike > 1").withColumn("copies", F.floor(F.col("times") / F.col("alike")) + (number <= F.col("times") % F.col("alike")).cast("long"))
+    out = alone.unionByName(several).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies"))))
+    return out.filter("copy > 0").select("row.*")

@@ -290,6 +290,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that near_dedup keeps: one document of each group."""
-    gone = near_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["__gone"], "left_anti")
+    """The rows of ``docs``, all columns, that near_dedup keeps: one document of each group, and rows without an identifier.
+
+    Rows that repeat an identifier stay or go together. The columns may have any names.
+    """
+    gone = near_dedup(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    gone = Scratch(docs.sparkSession, "near-copies").write("gone", gone)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    few = gone.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(gone) if few else gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")
