@@ -276,9 +276,13 @@ def greedy_track(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mapmatch.track(*drives(spark, sf_dir), "greedy"), 4, "offset")
 
 
-@query(f"""WITH RECURSIVE {GREEDY_SQL}, gone AS (SELECT session, k, go.d, r, edge, greatest(0, least(o, len)) AS cut, len FROM go JOIN dir ON dir.d = go.d WHERE done), y AS (SELECT *, CASE WHEN r = 1 THEN len - cut ELSE cut END AS along FROM gone),
-    lies AS (SELECT y.*, az.cum, az.metres, lat1, lon1, lat2, lon2, b, row_number() OVER (PARTITION BY session, k ORDER BY az.cum DESC) AS first FROM y JOIN az ON az.edge = y.edge AND az.cum <= along + 1e-9 AND along <= az.cum + az.metres + 1e-9)
-    SELECT session AS outage, k, round(lat1 + (lat2 - lat1) * (along - cum) / metres, 8) AS lat, round(lon1 + (lon2 - lon1) * (along - cum) / metres, 8) AS lon, round(sin(b + r * pi()), 5) + 0.0::DOUBLE AS east, round(cos(b + r * pi()), 5) + 0.0::DOUBLE AS north FROM lies WHERE first = 1""")
+#: The greedy tracks' positions.
+PLACES_SQL = f"""{GREEDY_SQL}, gone AS (SELECT session, k, go.d, r, edge, greatest(0, least(o, len)) AS cut, len FROM go JOIN dir ON dir.d = go.d WHERE done), y AS (SELECT *, CASE WHEN r = 1 THEN len - cut ELSE cut END AS along FROM gone),
+    lies AS (SELECT y.*, az.cum, az.metres, lat1, lon1, lat2, lon2, b, row_number() OVER (PARTITION BY session, k ORDER BY az.cum DESC) AS first FROM y JOIN az ON az.edge = y.edge AND az.cum <= along + 1e-9 AND along <= az.cum + az.metres + 1e-9),
+    placed AS (SELECT session, k, lat1 + (lat2 - lat1) * (along - cum) / metres AS lat, lon1 + (lon2 - lon1) * (along - cum) / metres AS lon, b + r * pi() AS bearing FROM lies WHERE first = 1)"""
+
+
+@query(f"""WITH RECURSIVE {PLACES_SQL} SELECT session AS outage, k, round(lat, 8) AS lat, round(lon, 8) AS lon, round(sin(bearing), 5) + 0.0::DOUBLE AS east, round(cos(bearing), 5) + 0.0::DOUBLE AS north FROM placed""")
 def track_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the greedy tracks are each second, and the direction they go."""
     path = mapmatch.track(*drives(spark, sf_dir), "greedy").withColumn("id", F.struct("outage", "k"))
@@ -298,13 +302,17 @@ def viterbi_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mapmatch.track(*drives(spark, sf_dir), "viterbi"), 4, "offset")
 
 
-@query()
+@query(f"""WITH RECURSIVE {PLACES_SQL}, was AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM placed WINDOW w AS (PARTITION BY session ORDER BY k)), mid AS (SELECT *, radians((lat + la) / 2) AS m, radians(lat - la) AS dn, radians(lon - lo) AS de, 0.0066943799901413165::DOUBLE AS q FROM was WHERE la IS NOT NULL),
+    flat AS (SELECT *, dn * 6378137 * (1 - q) / power(1 - q * power(sin(m), 2), 1.5) AS n, de * 6378137 * cos(m) / sqrt(1 - q * power(sin(m), 2)) AS ea FROM mid), h AS (SELECT *, CASE WHEN n <> 0 OR ea <> 0 THEN atan2(ea, n) - de / 2 * sin(m) END AS h FROM flat),
+    kept AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY session ORDER BY k ROWS UNBOUNDED PRECEDING), 0) AS heading FROM h)
+    SELECT session AS outage, k, round(sqrt(n * n + ea * ea), 3) AS distance, round(sin(heading), 3) + 0.0::DOUBLE AS east, round(cos(heading), 3) + 0.0::DOUBLE AS north FROM kept""")
 def track_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chords of the decoded tracks: position, length and heading a second."""
-    path = mapmatch.track(*drives(spark, sf_dir), "viterbi").withColumn("id", F.shiftleft("outage", 32) + F.col("k"))
+    """Chords of the greedy tracks: length and direction a second."""
+    path = mapmatch.track(*drives(spark, sf_dir), "greedy").withColumn("id", F.struct("outage", "k"))
     g = crossroads(spark)
-    at = rg.position_at(path.select("id", "d", "offset"), g.directed, g.segments).select("id", "lat", "lon")
-    return rounded(rg.chords(path.join(at, "id"), ["outage"], "k", "lat", "lon"), 3, "distance", "heading")
+    at = rg.position_at(path.select("id", "d", "offset"), g.directed, g.segments).select("id.outage", "id.k", "lat", "lon")
+    out = rg.chords(at, ["outage"], "k", "lat", "lon")
+    return rounded(out.select("outage", "k", "distance", F.sin("heading").alias("east"), F.cos("heading").alias("north")), 3, "distance", "east", "north")
 
 
 @query(f"""{S}, b AS (SELECT session, (row_idx - 1) // 2 AS k, sum(gyr) AS turn, avg(a2) AS change, avg(speed_ms) AS v FROM samples GROUP BY ALL HAVING count(*) = 2),

@@ -9,6 +9,7 @@ from tarmac.operators import mapmatch as mm
 from tarmac.operators import roadgraph as rg
 from tarmac.sources import catalog, ingest, maps
 
+#: The crossroads whose facts must hold.
 NODES = {1: (51.5000, -2.5000), 2: (51.5010, -2.5000), 3: (51.4990, -2.5000), 4: (51.5000, -2.4986), 5: (51.5000, -2.5014)}
 
 
@@ -147,3 +148,29 @@ def test_a_session_without_role_is_an_error(spark):
     df = spark.createDataFrame([("S", "Q1")], "family string, session string")
     with pytest.raises(Exception, match="no role"):
         catalog.with_roles(df, ["M"], none, [], [], [], [], ["M"]).collect()
+
+
+def test_rematching_without_roads_in_reach_keeps_the_greedy_track(spark):
+    from tarmac.operators import predictors
+    from tarmac.plans import graph
+
+    steps, starts, parts = graph.drives(spark, "/root/testdata/sf0.001")
+    steps, starts = steps.filter("outage < 3 and k <= 25"), starts.filter("outage < 3")
+    g = graph.crossroads(spark)
+    want = {(r.outage, r.k): (r.d, round(r.offset, 6)) for r in mm.track(steps, starts, parts, "greedy").collect()}
+    got = {(r.outage, r.k): (r.d, round(r.offset, 6)) for r in predictors.rematched_track(steps, starts, parts, g.segments, g.directed, 25, 1e-9).collect()}
+    assert got == want
+
+
+def test_rematching_snaps_to_the_one_road_in_reach(spark):
+    """Far from any junction the match is not contested: the position comes back as it was."""
+    from tarmac.operators import predictors
+    from tarmac.plans import graph
+
+    g = graph.crossroads(spark)
+    steps = spark.createDataFrame([(1, k, 2.0, 0.0, 3.0) for k in range(1, 13)], "outage long, k long, distance double, turn double, sigma double")
+    starts = spark.createDataFrame([(1, 0, 20.0, 0.0)], "outage long, d long, offset double, weight double")
+    parts = mm.reachable(spark.createDataFrame([(1, 51.5, -2.5, 500.0)], "outage long, lat double, lon double, reach double"), g.directed, g.segments)
+    got = [(r.k, r.d, r.offset) for r in predictors.rematched_track(steps, starts, parts, g.segments, g.directed, 12, 5.0, every=5).orderBy("k").collect()]
+    assert [k for k, *_ in got] == list(range(13)) and {d for _, d, _ in got} == {0}
+    assert max(abs(o - (20 + 2 * k)) for k, _, o in got) < 0.01
