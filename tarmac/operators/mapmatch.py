@@ -250,3 +250,34 @@ def coordinate_descent(objective, start: dict[str, float], step: float = 1.5, ru
         if loss >= before:
             break
     return now, loss
+
+
+def settings_losses(candidates: list[Settings], steps: DataFrame, starts: DataFrame, parts: DataFrame, true: DataFrame, roads: DataFrame, segs: DataFrame, method: str = "greedy") -> list[float]:
+    """Mean metres between the track of each candidate and the true positions (outage, k, lat, lon): one evaluation for all of them.
+
+    The candidates are a ladder's rungs, so their union stays small.
+    """
+    from tarmac.functions import geo
+    from tarmac.operators.roadgraph import position_at
+
+    tracks = [track(steps, starts, parts, method, s).withColumn("candidate", F.lit(i)) for i, s in enumerate(candidates)]
+    every = tracks[0]
+    for t in tracks[1:]:
+        every = every.unionByName(t)
+    at = position_at(every.select(F.struct("candidate", "outage", "k").alias("id"), "d", "offset"), roads, segs).select("id.*", F.col("lat").alias("la"), F.col("lon").alias("lo"))
+    off = geo.equirectangular(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))
+    found = {r["candidate"]: r["loss"] for r in at.join(true, ["outage", "k"]).groupBy("candidate").agg(F.avg(off).alias("loss")).collect()}
+    return [found.get(i, math.inf) for i in range(len(candidates))]
+
+
+def leave_one_out(objective, groups: list, start: dict[str, float], **search) -> list[tuple]:
+    """(group, parameters, loss) of each group: the parameters are fitted on all others pooled, the loss is on the group itself.
+
+    ``objective`` takes a list of parameter sets and a list of groups and gives one loss a set.
+    """
+    out = []
+    for group in groups:
+        others = [g for g in groups if g != group]
+        best, _ = coordinate_descent(lambda sets, others=others: objective(sets, others), start, **search)
+        out.append((group, best, objective([best], [group])[0]))
+    return out

@@ -174,3 +174,32 @@ def test_rematching_snaps_to_the_one_road_in_reach(spark):
     got = [(r.k, r.d, r.offset) for r in predictors.rematched_track(steps, starts, parts, g.segments, g.directed, 12, 5.0, every=5).orderBy("k").collect()]
     assert [k for k, *_ in got] == list(range(13)) and {d for _, d, _ in got} == {0}
     assert max(abs(o - (20 + 2 * k)) for k, _, o in got) < 0.01
+
+
+def test_models_are_stored_as_json(spark, tmp_path):
+    from tarmac.sources import models
+
+    model = {"knots_x": [0.5, 2.0], "knots_y": [0.0, 1.25], "name": "é"}
+    models.save(spark, {"old": 1}, f"{tmp_path}/m")
+    models.save(spark, model, f"{tmp_path}/m")
+    assert models.load(spark, f"{tmp_path}/m") == model
+
+
+def test_leaving_one_session_out():
+    best = {"a": 2.0, "b": 4.0, "c": 4.0}
+    objective = lambda sets, groups: [sum((p["x"] - best[g]) ** 2 for g in groups) for p in sets]
+    out = mm.leave_one_out(objective, ["a", "b", "c"], {"x": 1.0}, step=2.0, rungs=2)
+    assert [(g, p["x"], loss) for g, p, loss in out] == [("a", 4.0, 4.0), ("b", 2.0, 4.0), ("c", 2.0, 4.0)]
+
+
+def test_losses_of_settings(spark):
+    """The settings that made the truth lose nothing; a tracker that takes no turn does."""
+    from tarmac.plans import graph
+
+    steps, starts, parts = graph.drives(spark, "/root/testdata/sf0.001")
+    steps, starts = steps.filter("outage < 3 and k <= 30").withColumn("turn", F.lit(1.5)), starts.filter("outage < 3")
+    g = graph.crossroads(spark)
+    path = mm.track(steps, starts, parts, "greedy").withColumn("id", F.struct("outage", "k"))
+    true = rg.position_at(path.select("id", "d", "offset"), g.directed, g.segments).select("id.outage", "id.k", "lat", "lon")
+    losses = mm.settings_losses([mm.Settings(), mm.Settings(max_turn_mismatch=1e-9)], steps, starts, parts, true, g.directed, g.segments)
+    assert losses[0] < 1e-6 < 1 < losses[1]
