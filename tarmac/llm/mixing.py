@@ -132,10 +132,10 @@ def take(docs: DataFrame, budget: float = 1.5, max_epochs: int = 2, seed: int =
     part = F.when(F.col("size") == 0, 0).when(F.col("part") * 2 >= F.col("size"), 1).otherwise(0)
     taken = mix(docs, budget=budget, max_epochs=max_epochs, seed=seed).select("doc_id", "source", "size", (F.when(F.col("size") > 0, F.col("whole")).otherwise(0) + part).alias("times"))
     taken = taken.groupBy(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size")).agg(F.sum("times").alias("times"), F.count("*").alias("alike"))
-    sized = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("own"), F.col("text").alias("body"), word_count(F.col("text")).alias("words"))
+    sized = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").alias("own"), word_count(F.col("text")).alias("words"))
     same = F.col("id").eqNullSafe(F.col("t_id")) & F.col("own").eqNullSafe(F.col("t_source")) & (F.col("words") == F.col("t_size"))
     rows = sized.join(taken.filter("times > 0"), same)
-    number = F.row_number().over(Window.partitionBy("t_id", "t_source", "t_size").orderBy("body"))
+    number = F.row_number().over(Window.partitionBy("t_id", "t_source", "t_size").orderBy(F.col("row.text")))
     alone = rows.filter("alike = 1").withColumn("copies", F.col("times"))
     several = rows.filter("alike > 1").withColumn("copies", F.floor(F.col("times") / F.col("alike")) + (number <= F.col("times") % F.col("alike")).cast("long"))
     out = alone.unionByName(several).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies"))))
