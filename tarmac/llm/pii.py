@@ -2,8 +2,8 @@
 
 High-recall generators propose spans, which may overlap: four strict patterns
 with validators (the base spans, which always stay) and loose patterns for
-spaced or obfuscated forms and for credentials. Boosted trees, fitted on a
-bounded sample of candidates, score a loose candidate by its format and context.
+spaced or obfuscated forms and for credentials. Boosted trees, fitted on all
+loose candidates as counts of equal ones, score one by its format and context.
 Labels are weak: for a form of a strict kind, whether its normal form passes the
 strict pattern and validator; for a credential, whether it stands after a word
 for one, which is no feature there, so the trees learn the format and find
@@ -19,6 +19,7 @@ pattern begins, at most its square within one run.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import GBTClassifier
@@ -55,8 +56,8 @@ CREDENTIAL = r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|auth|bearer|credentials
 NATIONAL = r"^(?:(?:\([0-9]{2,5}\)|0[0-9]{2,4}(?=[\x20.-]))(?:[\x20.-]{0,2}[0-9]{2,8}){1,4}|[2-9][0-9]{2}[\x20.-][0-9]{3}[\x20.-][0-9]{4})$"
 
 FEATURES = ("kind", "digits", "length", "gaps", "groups", "longest", "luhn", "octets", "dots", "before", "after", "cue")
-#: Bounds of the fit: candidates, trees and their depth; precision wanted and cases that show it.
-SAMPLE, TREES, DEPTH, PRECISION, SUPPORT = 20_000, 8, 3, 0.98, 5
+#: Bounds of the fit: trees and their depth; precision wanted and cases that show it.
+TREES, DEPTH, PRECISION, SUPPORT = 8, 3, 0.98, 5
 
 
 def luhn(digits: Column) -> Column:
@@ -190,12 +191,14 @@ def _tree(lines: list[str], at: int, depth: int, c) -> tuple[Column, int]:
 
 
 class Scorer:
-    """Boosted trees and thresholds; ``score`` is an expression over a candidate."""
+    """Boosted trees (or one score for all) and thresholds; ``score`` is an expression over a candidate."""
 
-    def __init__(self, trees: list[tuple[float, str]], thresholds: dict[int, float]) -> None:
-        self.trees, self.thresholds = trees, thresholds
+    def __init__(self, trees: list[tuple[float, str]], flat: float = 0.5, thresholds: dict[int, float] | None = None) -> None:
+        self.trees, self.flat, self.thresholds = trees, flat, thresholds or {}
 
     def score(self, c) -> Column:
+        if not self.trees:
+            return F.lit(self.flat)
         total = F.lit(0.0)
         for weight, text in self.trees:
             lines = [x for x in text.splitlines()[1:] if x.strip()]
@@ -211,29 +214,43 @@ class Scorer:
         return self.score(c) >= limit
 
 
-def fit(found: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Scorer:
-    """Fits on ``sample`` loose candidates at most, in a hash order; half of them set the thresholds."""
-    rows = found.select("doc_id", F.explode("loose").alias("c")).withColumn("place", F.xxhash64("doc_id", F.col("c.start"), F.col("c.k")))
-    rows = Scratch(found.sparkSession, "pii-fit").write("sample", rows.orderBy("place").limit(sample).select("place", "c.*"))
-    train, check = rows.filter("place % 2 = 0"), rows.filter("place % 2 <> 0")
-    labels = [r["label"] for r in train.select("label").distinct().limit(3).collect()]
+def _boosted(cells: DataFrame, n: int, labels: set[float]) -> Scorer:
+    """Trees on ``n`` cells. Where all labels are alike there are none: a score of 0.5 if all are valid, else 0."""
     if len(labels) < 2:
-        # All valid or all not: no trees, and a score of 0.5 for all. As below, a kind needs cases that show its precision.
-        kinds = check.groupBy("k").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
-        return Scorer([], {r["k"]: 0.5 for r in kinds if labels == [1.0] and r["n"] >= SUPPORT and r["good"] >= precision * r["n"]})
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train)
-    model = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5, maxBins=32).fit(vectors)
-    scorer = Scorer([(w, t.toDebugString) for w, t in zip(model.treeWeights, model.trees, strict=True)], {})
-    step = F.floor(scorer.score({f: F.col(f) for f in FEATURES}) * 50) / 50
-    bins = check.groupBy("k", step.alias("s")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # 51 a kind at most
-    thresholds = {}
+        return Scorer([], 0.5 if labels == {1.0} else 0.0)
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(cells)
+    # Splits are looked for among max(maxBins ** 2, 10,000) rows, so that no more than all cells are needed.
+    bins = max(32, math.isqrt(n) + 1)
+    model = GBTClassifier(labelCol="label", weightCol="n", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=5, maxBins=bins).fit(vectors)
+    return Scorer([(w, t.toDebugString) for w, t in zip(model.treeWeights, model.trees, strict=True)])
+
+
+def fit(found: DataFrame, precision: float = PRECISION) -> Scorer:
+    """Fits on all loose candidates, counted by half, label and features: few rows, as features are small numbers.
+
+    The thresholds are set on all of them too, with scores by trees of the other half.
+    """
+    rows = found.select("doc_id", F.explode("loose").alias("c")).withColumn("half", F.pmod(F.xxhash64("doc_id", "c.start", "c.k"), F.lit(2)))
+    counted = rows.groupBy("half", "c.k", "c.label", *(F.col(f"c.{f}") for f in FEATURES)).agg(F.count("*").cast("double").alias("n"))
+    cells = Scratch(found.sparkSession, "pii-fit").write("cells", counted)
+    sizes = {(r["half"], r["label"]): r["cells"] for r in cells.groupBy("half", "label").agg(F.count("*").alias("cells")).collect()}
+
+    def fitted(*halves: int) -> Scorer:
+        own = {key: n for key, n in sizes.items() if key[0] in halves}
+        return _boosted(cells.filter(F.col("half").isin(*halves)), sum(own.values()), {label for _, label in own})
+
+    c = {f: F.col(f) for f in FEATURES}
+    score = F.when(F.col("half") == 0, fitted(1).score(c)).otherwise(fitted(0).score(c))
+    step = F.floor(score * 50) / 50
+    bins = cells.groupBy("k", step.alias("s")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()  # 51 a kind at most
+    scorer = fitted(0, 1)
     for k in range(len(KINDS)):
         good = n = 0.0
         for row in sorted((r for r in bins if r["k"] == k), key=lambda r: -r["s"]):
             good, n = good + row["good"], n + row["n"]
             if n >= SUPPORT and good >= precision * n and row["s"] >= 0.5:
-                thresholds[k] = row["s"]
-    return Scorer(scorer.trees, thresholds)
+                scorer.thresholds[k] = row["s"]
+    return scorer
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:

@@ -107,3 +107,11 @@ def test_frequent_loose_forms_are_added(spark):
 def test_loose_forms_alone_are_added(spark):
     rows = [(k, f"user{k} (at) host (dot) org") for k in range(200)]
     assert all(len(r.spans) == 1 for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+
+
+def test_rare_forms_among_very_many_candidates_are_added(spark):
+    """A dozen obfuscated e-mails show their precision also among 60,000 phone numbers."""
+    rows = [(k, " ".join(f"+1 ({200 + j}) 555-{1000 + 7 * k + j}," for j in range(100))) for k in range(600)]
+    rows += [(1000 + k, f"write to user{k} (at) host (dot) com") for k in range(12)]
+    out = {r.doc_id: r.n for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert all(out[k] == 100 for k in range(600)) and all(out[1000 + k] == 1 for k in range(12))
