@@ -209,3 +209,24 @@ def test_spelled_symbols_have_total_probability_one():
 def test_packing():
     for values in ([], [0, 0], [1, 255, 256], [2**63, 5], range(1000)):
         assert np.array_equal(lm.unpack(lm.pack(np.array(list(values), np.uint64))), np.array(list(values), np.uint64))
+
+
+def test_all_training_texts_are_fitted(spark):
+    """A text far longer than the others sets the code and the predictors' counts, as most tokens are its."""
+    rows = [(k, " ".join(f"q{k * 31 + j}" for j in range(20))) for k in range(30)] + [(99, "zz yz zy " * 60_000)]
+    *_, model = lm.learn(spark.createDataFrame(rows, "doc_id long, text string").withColumn("train", F.lit(True)))
+    size = model.speller.code.size
+    assert size[ord("z")] < size[ord("q")]
+    assert model.mixer.odds[1][2 * 64 + 63] > 5  # after three tokens known by two words before: in the long text alone
+
+
+def test_forms_of_parts_add_up():
+    """Newton steps on parts, summed, come near the least of the whole."""
+    rng = np.random.default_rng(5)
+    x, true, start = rng.normal(size=(160_000, 3)), np.array([0.5, -0.3, 1.0]), np.full((1, 3), 0.3)
+    y = (rng.random(160_000) < 1 / (1 + np.exp(-x @ true))).astype(np.uint8)
+    parts = sum(lm.form(x[a : a + 20_000], y[a : a + 20_000], np.array([0, 20_000]), start, 30.0, lm.LOOKS) for a in range(0, 160_000, 20_000))
+    near, w = lm.solved(parts, start, 30.0), start
+    for _ in range(20):
+        w = lm.solved(lm.form(x, y, np.array([0, 160_000]), w, 30.0, 1), start, 30.0)
+    assert np.abs(near - w).max() < 0.02 and np.abs(w - true).max() < 0.1
