@@ -225,8 +225,14 @@ def test_forms_of_parts_add_up():
     rng = np.random.default_rng(5)
     x, true, start = rng.normal(size=(160_000, 3)), np.array([0.5, -0.3, 1.0]), np.full((1, 3), 0.3)
     y = (rng.random(160_000) < 1 / (1 + np.exp(-x @ true))).astype(np.uint8)
-    parts = sum(lm.form(x[a : a + 20_000], y[a : a + 20_000], np.array([0, 20_000]), start, 30.0, lm.LOOKS) for a in range(0, 160_000, 20_000))
+    parts = sum(lm.form(x[a : a + 20_000].T, y[a : a + 20_000], np.array([0, 20_000]), start, 30.0, lm.LOOKS) for a in range(0, 160_000, 20_000))
     near, w = lm.solved(parts, start, 30.0), start
     for _ in range(20):
-        w = lm.solved(lm.form(x, y, np.array([0, 160_000]), w, 30.0, 1), start, 30.0)
+        w = lm.solved(lm.form(x.T, y, np.array([0, 160_000]), w, 30.0, 1), start, 30.0)
     assert np.abs(near - w).max() < 0.02 and np.abs(w - true).max() < 0.1
+
+
+def test_order_of_hashes():
+    rng = np.random.default_rng(6)
+    for x in (rng.integers(0, 2**64, 5000, np.uint64), rng.integers(0, 50, 5000, np.uint64), np.zeros(0, np.uint64), np.array([5, 3, 2**64 - 1], np.uint64)):
+        assert np.array_equal(lm.ascending(x), np.argsort(x, kind="stable"))
