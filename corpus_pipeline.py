@@ -6,11 +6,13 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarmac.llm import bpe, exact_dedup, language_id, mixing, near_dedup
-from tarmac.llm.common import Scratch, table
+from tarmac.llm.common import Scratch, release_heaps, table
 from tarmac.llm.queries import public_vocabulary
 
 
@@ -40,12 +42,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _released(stage):
+    """The stage, begun after the executors gave back what the stage before it left in their heaps."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", identify_language),
-    ("exact_dedup", drop_exact_copies),
-    ("near_dedup", drop_near_copies),
-    ("source_mixing", mix_sources),
-    ("byte_bpe", encode),
+    ("language_id", _released(identify_language)),
+    ("exact_dedup", _released(drop_exact_copies)),
+    ("near_dedup", _released(drop_near_copies)),
+    ("source_mixing", _released(mix_sources)),
+    ("byte_bpe", _released(encode)),
 ]
 
 #: SQL cannot express the language model or BPE; tests/llm holds the pipeline against a plain version.

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 import re
 import zlib
 from collections import defaultdict
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarmac.llm.common import released
+from tarmac.llm.common import released, rows
 
 #: Characters of a block of documents, and of the texts whose distinct words a bucket holds a share of.
 BLOCK_CHARS, BUCKET_CHARS = 16_000_000, 16_000_000
@@ -64,9 +65,9 @@ def _splitters(pattern: str):
 
 def _pack(values: np.ndarray) -> bytes:
     """Unsigned integers as three compressed byte planes."""
-    planes = [(values >> (8 * k) & 255).astype(np.uint8).tobytes() for k in range(4)]
+    planes = np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4)
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    parts = [squeeze(p) for p in planes]
+    parts = [squeeze(planes[:, k].tobytes()) for k in range(4)]
     return np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
 
 
@@ -101,68 +102,71 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int, block_chars: int) -> Da
             block = base + number
             number += 1
             flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int32)
-            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            numbers.clear()
+            times = np.zeros(len(words), np.int64)
+            for at in range(0, len(flat), 1 << 19):  # bincount copies what it counts
+                times += np.bincount(flat[at : at + (1 << 19)], minlength=len(words))
+            order = np.argsort(-times, kind="stable")
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
             ranked = [words[k].encode() for k in order.tolist()]
             bucket = np.fromiter((zlib.crc32(w) % buckets for w in ranked), np.uint32, len(ranked))
             head = np.array(ids, np.int64).tobytes() + np.array(valid, np.uint8).tobytes()
-            yield _batch([(-1 - block, block, 0, 0, _pack(rank[flat]), zlib.compress(head, 1), _pack(np.array(counts, np.uint32)), _pack(bucket))])
+            flat = _pack(rank[flat])
+            yield _batch([(-1 - block, block, 0, 0, flat, zlib.compress(head, 1), _pack(np.array(counts, np.uint32)), _pack(bucket))])
             by = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
             squeeze = zstandard.ZstdCompressor(level=3).compress
-            rows = []
+            found = []
             for k in range(buckets):
                 if cuts[k] < cuts[k + 1]:
                     part = [ranked[j] for j in by[cuts[k] : cuts[k + 1]].tolist()]
                     # A word cannot hold a byte 0xFF: it isn't UTF-8.
-                    rows.append((k, block, 1, k, squeeze(b"\xff".join(part)), None, None, None))
-            for at in range(0, len(rows), 64):
-                yield _batch(rows[at : at + 64])
+                    found.append((k, block, 1, k, squeeze(b"\xff".join(part)), None, None, None))
+            for at in range(0, len(found), 64):
+                yield _batch(found[at : at + 64])
 
         ids, valid, counts, numbers, size = [], [], [], [], 0
         known = defaultdict(count().__next__)
-        for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                t = t or ""
-                if ids and size + len(t) > block_chars:
-                    yield from done(ids, valid, counts, numbers, list(known))
-                    ids, valid, counts, numbers, size = [], [], [], [], 0
-                    known = defaultdict(count().__next__)
-                found = (plain if t.isascii() else full)(t)
-                numbers.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
-                ids.append(i or 0)
-                valid.append(i is not None)
-                counts.append(len(found))
-                size += len(t)
+        for i, t in rows(batches, ["doc_id", "text"]):
+            t = t or ""
+            if ids and size + len(t) > block_chars:
+                yield from done(ids, valid, counts, numbers, list(known))
+                ids, valid, counts, numbers, size = [], [], [], [], 0
+                known = defaultdict(count().__next__)
+            found = (plain if t.isascii() else full)(t)
+            numbers.append(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+            ids.append(i or 0)
+            valid.append(i is not None)
+            counts.append(len(found))
+            size += len(t)
         if ids:
             yield from done(ids, valid, counts, numbers, list(known))
 
     return docs.mapInArrow(released(run), ROW)
 
 
-def _encode_words(rows: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+def _encode_words(asked: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """Kind 1 rows become kind 2, the words' ids; each distinct word of a bucket is encoded once. Others pass."""
 
     def run(batches):
         encode = _encoding(ranks, pattern)._core_bpe.encode_single_piece
-        known: dict[bytes, list[int]] = {}
+        known: dict[bytes, bytes] = {}  # a word's ids, four bytes each
         grow = zstandard.ZstdDecompressor().decompress
-        for b in batches:
-            for row in b.to_pylist():
-                if row["kind"] == 0:
-                    yield _batch([tuple(row[f] for f in FIELDS)])
-                    continue
-                found = []
-                for w in grow(row["words"]).split(b"\xff"):
-                    if (ids := known.get(w)) is None:
-                        ids = known[w] = encode(w)
-                    found.append(ids)
-                sizes = np.fromiter(map(len, found), np.uint32, len(found))
-                flat = np.fromiter((x for ids in found for x in ids), np.uint32, int(sizes.sum()))
-                yield _batch([(row["dest"], row["block"], 2, row["bucket"], None, _pack(flat), _pack(sizes), None)])
-
-    return rows.mapInArrow(released(run), ROW)
+        for row in rows(batches, FIELDS, 16):
+            dest, block, kind, bucket, words, *_ = row
+            if kind == 0:
+                yield _batch([row])
+                continue
+            found = []
+            for w in grow(words).split(b"\xff"):
+                if (ids := known.get(w)) is None:
+                    ids = known[w] = array("I", encode(w)).tobytes()
+                found.append(ids)
+            sizes = np.fromiter(map(len, found), np.uint32, len(found)) // np.uint32(4)
+            yield _batch([(dest, block, 2, bucket, None, _pack(np.frombuffer(b"".join(found), np.uint32)), _pack(sizes), None)])
+
+    return asked.mapInArrow(released(run), ROW)
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode_too: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -216,18 +220,17 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id",
             if out:
                 yield out
 
-        def shaped(rows):
+        def shaped(own):
             kinds, names = [pa.int64(), pa.int64(), pa.binary(), pa.binary()], ["doc_id", "n_tokens", "ids", "decoded"]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names[: len(rows[0])])
-
-        for b in batches:
-            for row in b.to_pylist():
-                if row["kind"] == 0:
-                    if held:
-                        yield from map(shaped, done())
-                    held |= {"head": row["ids"], "numbers": row["words"], "counts": row["counts"], "buckets": row["buckets"], "answers": []}
-                else:
-                    held["answers"].append((row["bucket"], row["ids"], row["counts"]))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own, strict=True), kinds, strict=False)], names[: len(own[0])])
+
+        for kind, bucket, words, ids, counts, asked_of in rows(batches, FIELDS[2:], 16):
+            if kind == 0:
+                if held:
+                    yield from map(shaped, done())
+                held |= {"head": ids, "numbers": words, "counts": counts, "buckets": asked_of, "answers": []}
+            else:
+                held["answers"].append((bucket, ids, counts))
         if held:
             yield from map(shaped, done())
 

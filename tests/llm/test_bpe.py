@@ -1,6 +1,9 @@
 import hashlib
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
 from tarmac.llm import bpe
 from tarmac.llm.queries import public_vocabulary
@@ -32,3 +35,26 @@ def test_odd_rows_and_empty(odd):
     got = bpe.encode(odd, ranks, pattern, decode_too=True).collect()
     assert sorted(hashlib.md5(bytes(r.decoded)).hexdigest() for r in got) == sorted(hashlib.md5((r.text or "").encode()).hexdigest() for r in odd.collect())
     assert bpe.encode(odd.limit(0), ranks, pattern).count() == 0
+
+
+class _Tasks:
+    """In place of a DataFrame: gives the function that its tasks would run."""
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_batch_is_not_held_as_python_values(monkeypatch):
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [f"{k} " + "word " * 800 for k in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1500), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    size = sum(map(len, texts))
+    del texts
+    run = bpe._blocks(_Tasks(), public_vocabulary()[1], 8, 200_000)
+    tracemalloc.start()
+    try:
+        blocks = sum(sum(b.column("kind").to_pylist()) == 0 for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert blocks > 20 and peak < size / 2

@@ -47,3 +47,15 @@ def test_stages_survive_odd_and_empty_rows(spark, odd, sf):
             rows = out.collect()
             docs = spark.createDataFrame(rows, out.schema)
     assert cp.STAGES[0][1](spark, odd, sf).columns == odd.columns and language_id.held_out() is not None
+
+
+def _full_collections(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+
+def test_stages_begin_with_released_heaps(spark, documents, sf):
+    for _, stage in cp.STAGES:
+        before = _full_collections(spark)
+        stage(spark, documents.limit(20), sf)
+        assert _full_collections(spark) > before
